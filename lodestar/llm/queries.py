@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat_format, exact_dedup, packing, quality_rules
+from lodestar.llm import chaining, chat_format, exact_dedup, minhash, packing, quality_rules, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,9 @@ def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_suffix_array_dedup": _on("documents", suffix_dedup.repeats),
+        "op5_minhash_near_dedup": _on("documents", minhash.near_copies),
+        "op6_substring_dedup": _on("documents", chaining.passages),
         "op7_chat_format": _on("conversations", chat_format.format_chats),
         "op8_exact_dedup": _on("documents", exact_dedup.exact_copies),
         "op9_quality_rules": _on("documents", quality_rules.clean),
