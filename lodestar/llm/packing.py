@@ -5,13 +5,19 @@ from __future__ import annotations
 
 from heapq import heapify, heappop
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a training sequence, and bytes packed by one task. Bins don't span shards, so a shard is some 2000 bins.
-CAPACITY = 16_384
-SHARD = 32 * 1024 * 1024
+from lodestar.llm.shared import kept
+from lodestar.llm.vocabulary import PATH, encoding
+
+#: Tokens of a training sequence, and tokens packed as one shard. Bins don't span shards; a shard is some 2000 bins.
+CAPACITY = 4096
+SHARD = 2048 * CAPACITY
 
 
 def best_two_fit(pieces: list[tuple[int, tuple]], capacity: int) -> list[list[tuple[int, tuple]]]:
@@ -65,16 +71,24 @@ def best_two_fit(pieces: list[tuple[int, tuple]], capacity: int) -> list[list[tu
     return bins
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """Bins of at most `capacity` bytes of UTF-8 that hold all of documents' texts: shard, bin, used, n_docs, and
+def _sized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    encoder = encoding(path)
+    for batch in batches:
+        sizes = [len(encoder.encode_ordinary(x.as_py())) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "size"])
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, path: str = PATH) -> DataFrame:
+    """Bins of at most `capacity` tokens that hold all of documents' texts: shard, bin, used, n_docs, and
     doc_ids, starts, sizes of its pieces in the order they were packed.
 
-    A text over the capacity is cut into pieces of that size and a rest; starts are byte offsets. Documents are
-    spread over shards by a hash of doc_id, as many as the bytes of all texts ask for, and each shard is packed
+    A text over the capacity is cut into pieces of that size and a rest; starts are in tokens. Documents are
+    spread over shards by a hash of doc_id, as many as the tokens of all texts ask for, and each shard is packed
     by itself. A null or empty text takes no room and is in no bin. Rows of null doc_id are packed, under null;
     rows that repeat a doc_id are each packed. Ties of size go by doc_id (null last), then start. An empty table
     gives no bins; other columns are ignored."""
-    sized = docs.select("doc_id", F.octet_length("text").cast("long").alias("size")).where("size > 0")
+    texts = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sized = kept(texts.mapInArrow(lambda it: _sized(it, path), "doc_id long, size long"))
     total = sized.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard))
     lanes = sized.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(shards)).cast("long"))
@@ -91,4 +105,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
 
     # doc_id as decimal, lest pandas make floats of it where some are null
     lanes = lanes.withColumn("doc_id", F.col("doc_id").cast("string"))
+    # a fixed number of partitions: by the bytes of so narrow a table, few tasks would be left to do the work
+    lanes = lanes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
     return lanes.groupBy("shard").applyInPandas(one, "shard long, bin long, used long, n_docs int, doc_ids array<long>, starts array<long>, sizes array<long>")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chaining, chat_format, exact_dedup, minhash, packing, quality_rules, suffix_dedup
+from lodestar.llm import bpe, chaining, chat_format, exact_dedup, license_scan, minhash, packing, quality_rules, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,9 @@ def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": _on("documents", token_counts.token_counts),
+        "op2_license_scan": _on("documents", license_scan.scan_licenses),
+        "op3_byte_bpe": _on("documents", bpe.encode_documents),
         "op4_suffix_array_dedup": _on("documents", suffix_dedup.repeats),
         "op5_minhash_near_dedup": _on("documents", minhash.near_copies),
         "op6_substring_dedup": _on("documents", chaining.passages),
