@@ -1,0 +1 @@
+"""A document retrieval and corpus engine on Spark."""
