@@ -37,14 +37,14 @@ def chars_display(n: Column) -> Column:
 
 def bytes_display(n: Column) -> Column:
     """B, KB and MB with one decimal, GB with two."""
-    part = lambda by, digits, unit: F.concat(F.format_string(f"%.{digits}f", n / F.lit(float(by))), F.lit(unit))
+    part = lambda by, digits, unit: F.concat(F.format_string(f"%.{digits}f", F.bround(n / F.lit(float(by)), digits)), F.lit(unit))
     return F.when(n >= 1 << 30, part(1 << 30, 2, " GB")).when(n >= 1 << 20, part(1 << 20, 1, " MB")).when(n >= 1 << 10, part(1 << 10, 1, " KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def file_size_display(n: Column) -> Column:
     """The catalog's short form: KB below a thousand and twenty-four, MB above."""
     kb = n / F.lit(1024.0)
-    return F.when(kb < 1024, F.concat(F.format_string("%.1f", kb), F.lit("KB"))).otherwise(F.concat(F.format_string("%.1f", kb / 1024), F.lit("MB")))
+    return F.when(kb < 1024, F.concat(F.format_string("%.1f", F.bround(kb, 1)), F.lit("KB"))).otherwise(F.concat(F.format_string("%.1f", F.bround(kb / 1024, 1)), F.lit("MB")))
 
 
 def percent(part: Column, whole: Column) -> Column:

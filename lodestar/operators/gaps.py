@@ -24,7 +24,8 @@ def gap_keys(candidates: DataFrame, width: int) -> DataFrame:
 
 def neighbour_keys(selected: DataFrame, width: int) -> DataFrame:
     offsets = F.array(*[F.lit(o) for r in range(1, width + 1) for o in (-r, r)])
-    return selected.select("query_id", "doc_id", (F.col("chunk_index") + F.explode(offsets)).alias("chunk_index")).distinct()
+    spread = selected.select("query_id", "doc_id", "chunk_index", F.explode(offsets).alias("offset"))
+    return spread.select("query_id", "doc_id", (F.col("chunk_index") + F.col("offset")).alias("chunk_index")).distinct()
 
 
 def fill_gaps(candidates: DataFrame, store: DataFrame, width: int) -> DataFrame:
