@@ -6,7 +6,9 @@ kept by a fold over the few rows of each query."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,11 +104,16 @@ def fill(candidates: DataFrame, store: DataFrame, config: Config = Config()) ->
     eligible = near.distinct().join(sized, ["doc_id", "chunk_index"]).select(*keys, "length", F.lit(False).alias("mine"))
     every = eligible.unionByName(own.select(*keys, F.lit(None).cast("int").alias("length"), F.lit(True).alias("mine")))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf["mine"].to_numpy(bool)
-        key = list(zip(pdf["doc_id"], pdf["chunk_index"].astype(int)))
-        lengths = {k: int(n) for k, n, m in zip(key, pdf["length"], mine) if not m}
-        got = admitted([k for k, m in zip(key, mine) if m], lengths, config)
-        return pd.DataFrame([(pdf["query_id"].iloc[0], d, i, o) for (d, i), o in got], columns=[*keys, "origin"])
-
-    return every.groupBy("query_id").applyInPandas(fold, ", ".join(f"{k} {kind[k]}" for k in keys) + ", origin string")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for query, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lengths = {(r["doc_id"], r["chunk_index"]): r["length"] for r in rows if not r["mine"]}
+                got = admitted([(r["doc_id"], r["chunk_index"]) for r in rows if r["mine"]], lengths, config)
+                out += [(query, d, i, o) for (d, i), o in got]
+            columns = list(zip(*out)) if out else [()] * 4
+            types = [batch.schema.field(0).type, *(batch.schema.field(1).type.value_type.field(f).type for f in ("doc_id", "chunk_index")), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*keys, "origin"])
+
+    rows = every.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", "chunk_index", "length", "mine")).alias("rows"))
+    return rows.mapInArrow(fold, ", ".join(f"{k} {kind[k]}" for k in keys) + ", origin string")

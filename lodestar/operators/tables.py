@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from statistics import median
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,16 +102,18 @@ def tables(words: DataFrame, min_confidence: int = 30, **kw) -> DataFrame:
 
     Numerals are merged in the words' order, blank words and those of low confidence go, and each page is built by itself:
     words meet by document and page only, and a page is small."""
-    schema = words.schema
-    kind = schema["doc_id"].dataType.simpleString()
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_no")
-        merged = merge_numerals(list(zip(pdf["value"].fillna(""), pdf["confidence"].fillna(100).astype(int), pdf["x1"], pdf["y1"], pdf["x2"], pdf["y2"])))
-        boxes = [(v, int(x1), int(y1), int(x2), int(y2)) for v, c, x1, y1, x2, y2 in merged if v.strip() and c >= min_confidence]
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "page": [pdf["page"].iloc[0]], "cells": [table_of(boxes, **kw)]})
-
-    return words.groupBy("doc_id", "page").applyInPandas(build, f"doc_id {kind}, page int, cells array<array<string>>")
+    kind = words.schema["doc_id"].dataType.simpleString()
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page in batch.column(2).to_pylist():
+                merged = merge_numerals([(w["value"] or "", 100 if w["confidence"] is None else w["confidence"], w["x1"], w["y1"], w["x2"], w["y2"]) for w in page])
+                out.append(table_of([(v, x1, y1, x2, y2) for v, c, x1, y1, x2, y2 in merged if v.strip() and c >= min_confidence], **kw))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.list_(pa.string())))], names=["doc_id", "page", "cells"])
+
+    pages = words.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("word_no", "value", "confidence", "x1", "y1", "x2", "y2"))).alias("words"))
+    return pages.mapInArrow(build, f"doc_id {kind}, page int, cells array<array<string>>")
 
 
 def markdown(cells: Column) -> Column:
