@@ -104,13 +104,11 @@ def gram_rows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(counts.sum()) - begin[rows] + first[:-1][rows], rows
 
 
-def winnow(h: np.ndarray, rows: np.ndarray, w: int) -> np.ndarray:
-    """Indices that winnowing keeps: of each w neighbours in a row the least hash, the last of equal ones.
+def least_of(h: np.ndarray, rows: np.ndarray, w: int) -> np.ndarray:
+    """For each index that of the least hash among it and the w - 1 after it, as far as its row goes; of equal ones the last.
 
-    h: hashes in order, rows: their rows, not decreasing. A row of fewer than w hashes keeps its least."""
+    h: hashes in order, rows: their rows, not decreasing."""
     n = len(h)
-    if not n:
-        return np.zeros(0, np.int64)
     best = np.arange(n)
     value = h.copy()
     span = 1
@@ -124,6 +122,15 @@ def winnow(h: np.ndarray, rows: np.ndarray, w: int) -> np.ndarray:
         new_value[at], new_best[at] = value[at + step], best[at + step]
         value, best = new_value, new_best
         span += step
+    return best
+
+
+def winnow(h: np.ndarray, rows: np.ndarray, w: int) -> np.ndarray:
+    """Indices that winnowing keeps: of each w neighbours in a row what least_of() says. A row of fewer than w hashes keeps its least."""
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64)
+    best = least_of(h, rows, w)
     count = np.bincount(rows, minlength=int(rows[-1]) + 1)
     start = np.cumsum(count) - count
     full = np.arange(n) - start[rows] <= np.maximum(count[rows] - w, 0)

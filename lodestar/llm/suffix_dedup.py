@@ -2,8 +2,9 @@
 
 Winnowed anchors, of which every passage of that length holds one in each of its copies, tell which parts of which
 documents can repeat at all; only these travel. A part goes to the shards of the anchors it holds, so all copies of a
-passage meet in one shard, where induced sorting makes the suffix array and neighbours with a long enough common
-prefix are repeats. Text that shares no anchor with other text repeats nothing; no repeat is lost by leaving it out."""
+window meet in the shard of its own anchor (its least k-gram), where induced sorting makes the suffix array and
+neighbours with a long enough common prefix are repeats; other shards, which may hold some of the copies only, don't report
+it. Text that shares no anchor with other text repeats nothing; no repeat is lost by leaving it out."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.hashing import PLAIN, U, gram_rows, grams, slices, winnow, words
+from lodestar.llm.hashing import PLAIN, U, gram_rows, grams, least_of, slices, winnow, words
 from lodestar.llm.shared import kept, with_ids
 from lodestar.llm.suffix_array import permuted_lcp, suffix_array
 
@@ -47,10 +48,10 @@ def _anchors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
 
 def _parts(batches: Iterator[pa.RecordBatch], least: int, part: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, marks: [(pos, shard)]) -> (shard, doc_id, at, text): the parts of the text around its anchors, once for each of their shards."""
+    """(doc_id, text, marks: [(pos, shard)]) -> (shard, doc_id, at, text, anchors): the parts of the text around its anchors, once for each of their shards, with where those lie."""
     k = _anchor_size(least)
     for batch in batches:
-        out: list[tuple[int, int, int, bytes]] = []
+        out: list[tuple[int, int, int, bytes, np.ndarray]] = []
         ids, marks = batch.column(0).to_pylist(), batch.column(2)
         for begin, end, data, off in slices(batch.column(1)):
             _, starts, ends, first = words(data, off, PLAIN)
@@ -74,7 +75,8 @@ def _parts(batches: Iterator[pa.RecordBatch], least: int, part: int) -> Iterator
                             continue
                         inside = (pos >= s) & (pos + k <= e)
                         piece = raw[starts[base + s] : ends[base + e - 1]]
-                        out += [(x, ids[row], s, piece) for x in np.unique(shard[inside]).tolist()]
+                        p, q = pos[inside] - s, shard[inside]
+                        out += [(x, ids[row], s, piece, p[q == x]) for x in np.unique(q).tolist()]
             if len(out) > 2000:
                 yield _part_batch(out)
                 out = []
@@ -83,16 +85,18 @@ def _parts(batches: Iterator[pa.RecordBatch], least: int, part: int) -> Iterator
 
 
 def _part_batch(out: list[tuple]) -> pa.RecordBatch:
-    shard, doc, at, text = zip(*out)
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(text, pa.binary()).cast(pa.string())], names=["shard", "doc_id", "at", "text"])
+    shard, doc, at, text, anchors = zip(*out)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(a) for a in anchors])).astype(np.int32)), pa.array(np.concatenate(anchors).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(text, pa.binary()).cast(pa.string()), lists], names=["shard", "doc_id", "at", "text", "anchors"])
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch], least: int, array: int) -> Iterator[pa.RecordBatch]:
-    """(shard, doc_id, at, text), sorted by shard -> (doc_id, start, end, other_id)."""
-    held: dict[bytes, list[tuple[int, int]]] = {}  # equal parts are sorted once
+    """(shard, doc_id, at, text, anchors), sorted by shard -> (doc_id, start, end, other_id)."""
+    held: Held = {}  # equal parts are sorted once
     count, last = 0, None
     for batch in batches:
         shards, docs, ats = (batch.column(i).to_numpy() for i in range(3))
+        anchors, bounds = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
         for begin, _, data, off in slices(batch.column(3)):
             h, _, _, first = words(data, off, PLAIN)
             for i in range(len(off) - 1):
@@ -102,17 +106,34 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], least: int, array: int) -> I
                     held, count = {}, 0
                 last = shards[row]
                 body = h[first[i] : first[i + 1]].tobytes()
-                places = held.get(body)
-                if places is None:
-                    held[body] = places = []
+                found = held.get(body)
+                if found is None:
+                    held[body] = found = ([], set())
                     count += len(body) // 8
-                places.append((int(docs[row]), int(ats[row])))
+                found[0].append((int(docs[row]), int(ats[row])))
+                found[1].update(anchors[bounds[row] : bounds[row + 1]].tolist())
     if held:
         yield _repeats(held, least)
 
 
-def _repeats(held: dict[bytes, list[tuple[int, int]]], least: int) -> pa.RecordBatch:
-    places = [sorted(set(p)) for p in held.values()]
+#: (doc_id, first word) of the places of a part, and where in it anchors of the shards at hand lie; by the words' hashes.
+Held = dict[bytes, tuple[list[tuple[int, int]], set[int]]]
+
+
+def _complete(h: np.ndarray, lengths: np.ndarray, anchors: list[set[int]], least: int) -> np.ndarray:
+    """Whether the anchor of the window that begins at a word belongs to the shards at hand, so that all copies of the window are here."""
+    k = _anchor_size(least)
+    first = np.append(0, np.cumsum(lengths))
+    marked = np.zeros(len(h), bool)
+    marked[np.concatenate([np.fromiter(a, np.int64, len(a)) + f for a, f in zip(anchors, first)])] = True
+    at, rows = gram_rows(first, k)
+    out = np.zeros(len(h), bool)
+    out[at] = marked[at[least_of(grams(h, k)[at], rows, least - k + 1)]]
+    return out
+
+
+def _repeats(held: Held, least: int) -> pa.RecordBatch:
+    places = [sorted(set(p)) for p, _ in held.values()]
     lengths = np.array([len(b) // 8 for b in held])
     h = np.frombuffer(b"".join(held), U)
     m = len(places)
@@ -143,7 +164,9 @@ def _repeats(held: dict[bytes, list[tuple[int, int]]], least: int) -> pa.RecordB
     second = np.where(one[of] == least_doc, two[of], one[of])
     second_doc = np.minimum.reduceat(second, starts)[block]
     total = np.add.reduceat(many[of], starts)[block]
-    good = (total > 1) & (order + least <= mark[of])
+    complete = np.zeros(n, bool)
+    complete[word] = _complete(h, lengths, [a for _, a in held.values()], least)
+    good = (total > 1) & (order + least <= mark[of]) & complete[order]
     at = order[good]
     by_text = np.argsort(at)
     at, first_doc, next_doc = at[by_text], least_doc[good][by_text], second_doc[good][by_text]
@@ -164,10 +187,11 @@ def _repeats(held: dict[bytes, list[tuple[int, int]]], least: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)) for r in rows], names=["doc_id", "start", "end", "other_id"])
 
 
-def merged(spans: DataFrame, *by: str) -> DataFrame:
-    """Spans (start, end) of equal `by` that touch or overlap, made one."""
+def merged(spans: DataFrame, *by: str, overlap: int = 0) -> DataFrame:
+    """Spans (start, end) of equal `by` that touch, or overlap by `overlap` at least, made one."""
     w = Window.partitionBy(*by).orderBy("start", "end")
-    apart = (F.col("start") > F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = (F.col("start") > F.coalesce(before - overlap, F.lit(-1))).cast("int")
     island = F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return spans.withColumn("_apart", apart).withColumn("_island", island).groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
@@ -188,7 +212,7 @@ def repeats(docs: DataFrame, least: int = WORDS, part: int = PART, array: int =
     marks = linked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.xxhash64("first.doc_id", F.floor(F.col("first.pos") / 256)).alias("shard"))).alias("marks"))
     marks = kept(marks)
     n = marks.count()
-    parts = with_ids(docs, marks, "inner", n=n * 16).select("doc_id", "text", "marks").mapInArrow(lambda it: _parts(it, least, part), "shard long, doc_id long, at int, text string")
+    parts = with_ids(docs, marks, "inner", n=n * 16).select("doc_id", "text", "marks").mapInArrow(lambda it: _parts(it, least, part), "shard long, doc_id long, at int, text string, anchors array<int>")
     sorted_ = parts.repartition(F.col("shard")).sortWithinPartitions("shard")
     spans = sorted_.mapInArrow(lambda it: _sort_shards(it, least, array), "doc_id long, start long, end long, other_id long")
-    return merged(spans, "doc_id", "other_id").select("doc_id", "other_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
+    return merged(spans, "doc_id", "other_id", overlap=least - 1).select("doc_id", "other_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
