@@ -57,7 +57,7 @@ class Index:
         return of[np.minimum(np.searchsorted(of, h), len(of) - 1)] == h
 
     def scan(self, h: list[int]) -> list[tuple[str, int, int, float]]:
-        """(licence, start, end, score) in one file, from its words' hashes; of overlapping matches of a licence the best."""
+        """(licence, start, end, score) in one file, from its words' hashes; of overlapping matches of a licence the one of most words."""
         places: dict[int, list[int]] = defaultdict(list)
         for at, w in enumerate(h):
             if w in self.idf:
@@ -66,35 +66,40 @@ class Index:
         for t, text in enumerate(self.texts):
             if not all(k in places for k in self.keys[t]):
                 continue
-            here = sorted({w for w in text if w in places}, key=lambda w: (-self.idf[w], w))[:RARE]
-            rare = set(here)
-            votes: Counter[int] = Counter()
-            for at, w in enumerate(text):
-                if w in rare:
-                    for place in places[w]:
-                        votes[place - at] += 1
-            need = max(1, (len(here) + 1) // 2)
-            ends = -1
-            for shift in sorted(votes):
-                near = sum(votes.get(s, 0) for s in range(shift, shift + DRIFT + 1))
-                if near < need or shift <= ends:
+            rare = set(sorted({w for w in text if w in places}, key=lambda w: (-self.idf[w], w))[:RARE])
+            # (shift, place in the template): where the template would begin if this word stood at its place
+            pairs = sorted((place - at, at) for at, w in enumerate(text) if w in rare for place in places[w])
+            votes = Counter(shift for shift, _ in pairs)
+            need = max(1, (len(rare) + 1) // 2)
+            first = last = 0
+            tried = set()
+            while first < len(pairs):
+                shift = pairs[first][0]
+                while last < len(pairs) and pairs[last][0] <= shift + DRIFT:
+                    last += 1
+                near = pairs[first:last]
+                first += votes[shift]
+                if len(near) < need:
+                    continue
+                peak = max((s for s, _ in near), key=lambda s: (votes[s], -s))
+                if peak in tried:
                     continue
-                lo, hi = max(0, shift - DRIFT), min(len(h), shift + len(text) + 2 * DRIFT)
+                tried.add(peak)
+                lo, hi = max(0, peak - DRIFT), min(len(h), peak + len(text) + 2 * DRIFT)
                 window = h[lo:hi]
                 at = [self._find(window, p) for p in self.phrases[t]]
                 if min(at) < 0:
                     continue
-                have, total = Counter(window), Counter(text)
-                score = sum((have & total).values()) / len(text)
+                score = sum((Counter(window) & Counter(text)).values()) / len(text)
                 if score >= SCORE:
-                    inside = [i for i, w in enumerate(window) if w in total]
-                    start = max(0, min(min(at), shift - lo)) if shift >= lo else min(at)
-                    start = min(start, min(at))
-                    end = max(max(i for i in inside if i < start + len(text) + DRIFT), max(a + len(p) for a, p in zip(at, self.phrases[t])) - 1)
-                    found.append((self.names[t], lo + start, lo + end + 1, score))
-                    ends = shift + len(text) // 2
+                    # the first and last of the rare words tell where the notice begins and ends, however it drifts between
+                    head = min(near, key=lambda x: (x[1], abs(x[0] - peak)))[0]
+                    tail = min(near, key=lambda x: (-x[1], abs(x[0] - peak)))[0]
+                    start = min(max(0, head), lo + min(at))
+                    end = max(min(len(h), tail + len(text)), lo + max(a + len(p) for a, p in zip(at, self.phrases[t])))
+                    found.append((-score * len(text), -votes[peak], start, end, self.names[t], score))
         best = []
-        for name, start, end, score in sorted(found, key=lambda x: (-x[3], x[1], x[2] - x[1], x[0])):
+        for _, _, start, end, name, score in sorted(found):
             if not any(name == n and start < e and s < end for n, s, e, _ in best):
                 best.append((name, start, end, score))
         return sorted(best, key=lambda x: (x[1], x[0]))
@@ -142,7 +147,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, list[str]]] =
 
     Null, empty and blank texts hold no licences. Each row is scanned by itself, so repeated rows give repeated rows, and
     a null doc_id stays null. A licence that stands in a document several times gives several rows; of matches of one licence that overlap
-    the one with the best score stays, of equal ones the first. An empty table gives no rows; other columns are ignored; texts of any length are scanned whole."""
+    the one of most matched words stays, of equal ones that of most rare words in place, then the first. An empty table gives no rows; other columns are ignored; texts of any length are scanned whole."""
     bare = Index(templates)
     texts = docs.where("text is not null").select("doc_id", "text")
     rows = texts.select("text").mapInArrow(lambda it: _frequencies(it, bare), "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
