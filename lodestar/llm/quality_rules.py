@@ -52,3 +52,18 @@ def clean(docs: DataFrame) -> DataFrame:
     out = out.where((whole > 0) & (left >= (1 - MAX_LOST) * whole))
     fixed = [F.col("_lodestar_text").alias(c) if c == "text" else F.length("_lodestar_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*fixed)
+
+
+_WS = r"[ \t\n\x0B\f\r]"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: RE2 knows no back references: words that follow themselves are found by comparing a list of words with itself.
+ORACLE = f"""
+WITH d AS (SELECT *, row_number() OVER () AS r FROM documents WHERE text IS NOT NULL),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+w AS (SELECT *, length(regexp_replace(line, '{_WS}', '', 'g')) AS dense, list_filter(regexp_split_to_array(translate(line, '{_UPPER}', '{_UPPER.lower()}'), '{_WS}+'), lambda x: x <> '') AS words FROM l),
+b AS (SELECT *, regexp_matches(line, '{NAVIGATION.replace(chr(92) + "s", _WS)}') OR regexp_matches(line, '{BOILERPLATE}')
+        OR len(regexp_extract_all(line, '{SYMBOLS}')) > CAST({MAX_SYMBOLS} AS DOUBLE) * dense OR len(regexp_extract_all(line, '{SHOUTS}')) > CAST({MAX_SHOUTS} AS DOUBLE) * len(words)
+        OR len(list_filter(range(1, greatest(len(words) - 2, 1)), lambda i: words[i] = words[i + 1] AND words[i] = words[i + 2] AND words[i] = words[i + 3])) > 0 AS bad FROM w),
+t AS (SELECT r, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT bad) AS kept, sum(dense) AS whole, coalesce(sum(dense) FILTER (WHERE NOT bad), 0) AS rest FROM b GROUP BY r)
+SELECT doc_id, kept AS text, lang, source, CAST(length(kept) AS BIGINT) AS n_chars FROM d JOIN t USING (r) WHERE whole > 0 AND rest >= {1 - MAX_LOST} * whole
+"""

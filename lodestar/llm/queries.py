@@ -34,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_chat_format": chat_format.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
+        "op9_quality_rules": quality_rules.ORACLE,
     }
