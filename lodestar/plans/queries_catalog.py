@@ -55,11 +55,11 @@ def enabled_ids(spark, sf_dir):
     return inputs.files(spark, sf_dir).where("is_enabled").select("file_md5")
 
 
-@query("insert_ignore", "SELECT doc_id, lang, source FROM documents WHERE doc_id % 2 = 1")
+@query("insert_ignore", "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def insert_ignore(spark, sf_dir):
-    """All documents into a table that has those of even number."""
+    """All documents into a table that has the labelled ones."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return catalog.insert_ignore(rows.where("doc_id % 2 = 0"), rows, "doc_id").select("doc_id", "lang", "source")
+    return catalog.insert_ignore(rows.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), rows, "doc_id").select("doc_id", "lang", "source")
 
 
 @query("delete_doc", "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -145,10 +145,10 @@ def session_append(spark, sf_dir):
     return history.next_turns(rows, rows.drop("turn_no")).select("session_id", "turn_no", "query")
 
 
-@query("session_delete", f"WITH {TURNS_SQL} SELECT session_id, turn_no FROM turns WHERE CAST(session_id AS INTEGER) % 5 <> 0")
+@query("session_delete", f"WITH {TURNS_SQL} SELECT session_id, turn_no FROM turns WHERE session_id NOT IN (SELECT session_id FROM turns WHERE answer = 'system')")
 def session_delete(spark, sf_dir):
     rows = inputs.turns(spark, sf_dir).select("session_id", "turn_no")
-    return catalog.delete(rows, rows.where("cast(session_id as int) % 5 = 0"), "session_id")
+    return catalog.delete(rows, rows.where("answer = 'system'"), "session_id")
 
 
 @query("token_split", f"WITH {TURNS_SQL} SELECT session_id, CAST(coalesce(sum(CASE WHEN answer <> 'system' THEN input_tokens + output_tokens END), 0) AS BIGINT) AS search_tokens, CAST(coalesce(sum(CASE WHEN answer = 'system' THEN input_tokens + output_tokens END), 0) AS BIGINT) AS index_tokens FROM turns GROUP BY session_id")

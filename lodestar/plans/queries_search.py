@@ -140,13 +140,16 @@ def low_confidence(spark, sf_dir):
     return rerank.low_confidence(rerank.align(rows, first.unionByName(again))).select("query_id", "doc_id", "ce_rank")
 
 
+_HELD = "tions"
+
+
 def _candidates(spark, sf_dir):
-    """Each document asks for itself, with some of its chunks."""
+    """Each document asks for itself, and finds those of its chunks that hold a word's end."""
     store = inputs.chunks(spark, sf_dir)
-    return store.where("chunk_index % 7 in (0, 3)").select(F.col("doc_id").alias("query_id"), "doc_id", "chunk_index"), store
+    return store.where(F.contains("text", F.lit(_HELD))).select(F.col("doc_id").alias("query_id"), "doc_id", "chunk_index"), store
 
 
-_CAND = "ca AS (SELECT doc_id AS query_id, doc_id, chunk_index FROM chunks WHERE chunk_index % 7 IN (0, 3))"
+_CAND = f"ca AS (SELECT doc_id AS query_id, doc_id, chunk_index FROM chunks WHERE contains(text, '{_HELD}'))"
 _GAPS = """gp AS (SELECT query_id, doc_id, chunk_index, lead(chunk_index) OVER (PARTITION BY query_id, doc_id ORDER BY chunk_index) AS nx FROM ca),
 gk AS (SELECT query_id, doc_id, unnest(range(chunk_index + 1, nx)) AS chunk_index FROM gp WHERE nx - chunk_index - 1 BETWEEN 1 AND 2),
 gf AS (SELECT gk.query_id, gk.doc_id, CAST(gk.chunk_index AS INTEGER) AS chunk_index FROM gk SEMI JOIN chunks USING (doc_id, chunk_index))"""

@@ -186,10 +186,11 @@ def text_layer(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sources.text_layer(F.col("text")).alias("text"))
 
 
-@query("pages_to_do", f"WITH {PAGES_SQL} SELECT doc_id, page FROM pages_ WHERE page % 3 <> 0")
+@query("pages_to_do", f"WITH {PAGES_SQL} SELECT doc_id, page FROM pages_ WHERE length(text) <= 1000")
 def pages_to_do(spark, sf_dir):
-    every = inputs.pages(spark, sf_dir).select("doc_id", "page")
-    return sources.pages_to_do(every, every.where("page % 3 = 0"))
+    """Pages of over 1000 characters have been done."""
+    every = inputs.pages(spark, sf_dir)
+    return sources.pages_to_do(every.select("doc_id", "page"), every.where("length(text) > 1000").select("doc_id", "page"))
 
 
 @query("table_cluster")
