@@ -19,17 +19,18 @@ def format_chats(turns: DataFrame, open_tag: str = "<|im_start|>", close_tag: st
     piece = F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("turns"))
 
-    def step(done: Column, x: Column) -> Column:
-        n = F.size(done)
-        last = F.try_element_at(done, F.lit(-1))
-        fresh = F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts"))
-        joined = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(x["text"])).alias("texts"))
-        return F.when((n > 0) & (last["role"] == x["role"]), F.concat(F.slice(done, 1, F.greatest(n - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(fresh)))
-
-    start = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    messages = gathered.select("conv_id", F.size("turns").alias("n_turns"), F.aggregate("turns", start, step).alias("messages"))
-    line = lambda m: F.concat(F.lit(open_tag), m["role"], F.lit("\n"), F.array_join(m["texts"], joiner), F.lit(close_tag + "\n"))
-    return messages.select("conv_id", "n_turns", F.size("messages").alias("n_messages"), F.array_join(F.transform("messages", line), "").alias("chat"))
+    # neighbours are looked up by place, so a long conversation takes time in proportion to its turns
+    turn = F.col("turns")
+    opens = lambda x, i: (i == 0) | (F.get(turn, i - 1)["role"] != x["role"])
+    closes = lambda x, i: (i == F.size(turn) - 1) | (F.get(turn, i + 1)["role"] != x["role"])
+
+    def piece_of(x: Column, i: Column) -> Column:
+        head = F.when(opens(x, i), F.concat(F.lit(open_tag), x["role"], F.lit("\n"))).otherwise(F.lit(joiner))
+        return F.concat(head, x["text"], F.when(closes(x, i), F.lit(close_tag + "\n")).otherwise(F.lit("")))
+
+    first = F.transform(turn, lambda x, i: opens(x, i).cast("int"))
+    n_messages = F.aggregate(first, F.lit(0), lambda n, one: n + one)
+    return gathered.select("conv_id", F.size(turn).alias("n_turns"), n_messages.alias("n_messages"), F.array_join(F.transform(turn, piece_of), "").alias("chat"))
 
 
 ORACLE = """

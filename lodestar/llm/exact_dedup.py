@@ -107,7 +107,8 @@ def without_copies(docs: DataFrame, digest=md5) -> DataFrame:
         side = F.broadcast(gone) if n <= BROADCAST_ROWS // 2 else gone.hint("shuffle_hash")
         return keyed.join(side, ["doc_id", "_lodestar_digest"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     # a row repeats whole or has no doc_id: the rows of each text are numbered themselves
-    order = Window.partitionBy("text").orderBy(F.col("doc_id").asc_nulls_last(), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]  # what has an order
+    order = Window.partitionBy("text").orderBy(F.col("doc_id").asc_nulls_last(), *others)
     numbered = docs.where("text is not null").withColumn("_lodestar_k", F.row_number().over(order)).where("_lodestar_k = 1").drop("_lodestar_k")
     return numbered.unionByName(docs.where("text is null"))
 

@@ -14,7 +14,7 @@ SYMBOLS = r"[#$%&*~^=_|<>{}@\\\[\]+]"
 SHOUTS = r"[!?]{2,}"
 WORDS = r"\S+"
 #: Words that follow themselves.
-REPEATS = r"(?i)(^|\s)(\S+)(\s+\2(?=\s|$)){3,}"
+REPEATS = r"(?i)(^|\s)(\S+)(\s+\2(?=\s|$)){3}"
 #: Shares of a document's characters, white space aside.
 MAX_LOST = 0.5
 MAX_SYMBOLS = 0.1

@@ -34,6 +34,14 @@ def test_merges_neighbours(spark):
     assert len(found[4].chat) > 250_000
 
 
+def test_long_conversation(spark):
+    n = 30_000
+    turns = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id div 3 % 2 = 0, 'user', 'assistant') as role", "cast(id as string) as text")
+    found = chat_format.format_chats(turns).collect()
+    assert (found[0].n_turns, found[0].n_messages) == (n, n // 3)
+    assert found[0].chat.startswith("<|im_start|>user\n0\n\n1\n\n2<|im_end|>\n<|im_start|>assistant\n3")
+
+
 def test_clashing_columns_and_empty(spark):
     rows = spark.createDataFrame([(*r, "x") for r in ROWS], SCHEMA + ", turns string")
     columns = ["conv_id", "n_turns", "n_messages", "chat"]
