@@ -64,7 +64,7 @@ class Documents:
 
         Chunks are written first and the catalog after them, so what is in the catalog has its chunks; a run that stops between is
         put right by the next, which finds the chunks and adds the rest."""
-        found = sources.catalogued(sources.read_binary(self.spark, path), self.config)
+        found = sources.catalogued(sources.read_binary(self.spark, path, empty=True), self.config)
         known = self.files.read().select(F.col("file_md5"), F.lit(True).alias("known"))
         texts = sources.texts(sources.unseen(found, self.files.read()))
         made = chunking.chunk_texts(texts, self.config, separator).join(texts.select("doc_id", "doc_name"), "doc_id")

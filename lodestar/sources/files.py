@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
+from fnmatch import fnmatch
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +14,31 @@ from lodestar.config import Config
 from lodestar.functions.text import document_name, lines, strip
 
 
-def read_binary(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """path, modificationTime, length, content; the content column is only read where it is used."""
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def read_binary(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False, empty: bool = False) -> DataFrame:
+    """path, modificationTime, length, content; the content column is only read where it is used.
+
+    Spark lists no empty files. With `empty` the driver looks for them itself, file by file: for folders that someone put together, not for a lake."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    found = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    rows = _empty_files(spark, path, pattern, recursive) if empty else []
+    return found.unionByName(spark.createDataFrame(rows, found.schema)) if rows else found
+
+
+def _empty_files(spark: SparkSession, path: str, pattern: str | None, recursive: bool) -> list[tuple]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for top in system.globStatus(at) or []:
+        below = system.listFiles(top.getPath(), recursive)
+        while below.hasNext():
+            file = below.next()
+            name = file.getPath().getName()
+            if file.getLen() == 0 and name[0] not in "._" and (pattern is None or fnmatch(name, pattern)):
+                out.append((file.getPath().toString(), datetime.fromtimestamp(file.getModificationTime() / 1000), 0, b""))
+    return out
 
 
 def decode(content: Column) -> Column:
@@ -65,7 +88,7 @@ def text_layer(text: Column) -> Column:
 
 def cached_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages (page from 1, text) of the newest run in a cache folder: <folder>/<run>/<n>.md, runs by name, pages by the first number in the file name."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(f"{folder}/*")
+    found = read_binary(spark, f"{folder}/*", "*.md", empty=True)  # a blank page is an empty file
     parts = F.split("path", "/")
     rows = found.select(F.element_at(parts, -2).alias("run"), F.regexp_extract(F.element_at(parts, -1), r"(\d+)", 1).cast("int").alias("n"), F.element_at(parts, -1).alias("name"), "content")
     newest = rows.agg(F.max("run").alias("run"))

@@ -25,7 +25,7 @@ def write(folder: Path, **texts):
 
 def test_files(spark, tmp_path):
     folder = write(tmp_path / "in", a__txt="héllo\r\nx\ry", b__txt="中文".encode("gbk"), c__pdf=b"%PDF-1.4", d__pdf=b"no", e__docx="x", f__txt=b"", g__txt=b"\xff\xfe\x00")
-    rows = {r.file_name: r for r in files.catalogued(files.read_binary(spark, folder)).collect()}
+    rows = {r.file_name: r for r in files.catalogued(files.read_binary(spark, folder, empty=True)).collect()}
     assert {n: r.problem for n, r in rows.items()} == {"a.txt": None, "b.txt": None, "c.pdf": None, "d.pdf": "bad_header", "e.docx": "bad_type", "f.txt": "empty", "g.txt": None}
     assert rows["c.pdf"].doc_name == "c" and rows["a.txt"].doc_name == "a.txt"
     got = {r.doc_name: r.text for r in files.texts(files.catalogued(files.read_binary(spark, folder))).collect()}
