@@ -152,7 +152,7 @@ class Search:
             one = self.spark.createDataFrame([(0, query, vector)], "query_id long, text string, vector array<float>")
             keyed = store.select(F.col("chunk_key").alias("doc_id"), "text", "vector")
             found = retrieval.hybrid(keyed, keyed, one, one, self.config)
-            rows = found.join(store, found.doc_id == store.chunk_key).select("query_id", "rank", "hybrid_score", *[store[c] for c in store.columns]).withColumn("query", F.lit(query))
+            rows = found.withColumnRenamed("doc_id", "chunk_key").join(store, "chunk_key").select("query_id", "rank", "hybrid_score", *store.columns).withColumn("query", F.lit(query))
             scored = providers.pair_scored(rows, self.pair)
             best = rerank.rerank(scored, config=self.config).checkpoint() if self.spark.sparkContext.getCheckpointDir() else rerank.rerank(scored, config=self.config).persist()
             if not best.limit(1).count():
