@@ -8,32 +8,46 @@ from pyspark.sql import functions as F
 #: Lines that hold any of these are boilerplate.
 BOILERPLATE = r"(?i)(lorem ipsum|cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|javascript is disabled|use of cookies|subscribe to our|sign up for|click here|share on (facebook|twitter)|add to cart|skip to (main )?content)"
 #: Bars, arrows and bullets that part the entries of a navigation line; and lines that are one menu word.
-NAVIGATION = r"( \| .* \| )|( [»›>] .* [»›>] )|( [·•] .* [·•] )|(?i)^\s*(home|menu|next|previous|back|login|log in|sign in|search|contact us|about us)\s*$"
+_MENU = "(home|menu|next|previous|back|login|log in|sign in|search|contact us|about us)"
+NAVIGATION = rf"( \| .* \| )|( [»›>] .* [»›>] )|( [·•] .* [·•] )|(?i)^\s*{_MENU}\s*$"
 #: Marks that belong to no sentence, and runs of one mark.
 SYMBOLS = r"[#$%&*~^=_|<>{}@\\\[\]+]"
 SHOUTS = r"[!?]{2,}"
 WORDS = r"\S+"
 #: Words that follow themselves.
-REPEATS = r"(?i)(^|\s)(\S+)(\s+\2(?=\s|$)){3}"
+REPEATS = r"(?i)(?<!\S)(\S++)(?:\s++\1(?!\S)){3}"
 #: Shares of a document's characters, white space aside.
 MAX_LOST = 0.5
 MAX_SYMBOLS = 0.1
 MAX_SHOUTS = 0.2
 
 
+#: What a whole text holds if one of its lines fails by the rule in the same place of bad_line(); most texts hold none of it.
+_SIGNS = (r" [|»›>·•] ", rf"(?imd)^[^\S\n]*+{_MENU}[^\S\n]*+$", BOILERPLATE, SYMBOLS, SHOUTS, REPEATS)
+
+
 def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
-def bad_line(line: Column) -> Column:
-    """Whether a line fails: navigation, boilerplate, over a tenth of marks, shouting after a fifth of its words, or a word over three times on end."""
-    dense = F.length(F.regexp_replace(line, r"\s", ""))
+def _dense(c: Column) -> Column:
+    """Characters that aren't white space."""
+    for space in " \t\n\x0b\f\r":
+        c = F.replace(c, F.lit(space), F.lit(""))
+    return F.length(c)
+
+
+def bad_line(line: Column, signs: Column | int = -1) -> Column:
+    """Whether a line fails: navigation, boilerplate, over a tenth of marks, shouting after a fifth of its words, or a word over three times on end.
+
+    signs: which bits of _SIGNS the whole text has; a rule without its sign isn't looked at."""
+    has = lambda *bits: F.lit(signs).bitwiseAND(F.lit(sum(1 << b for b in bits))) != 0
     return (
-        line.rlike(NAVIGATION)
-        | line.rlike(BOILERPLATE)
-        | (_count(line, SYMBOLS) > MAX_SYMBOLS * dense)
-        | (_count(line, SHOUTS) > MAX_SHOUTS * _count(line, WORDS))
-        | line.rlike(REPEATS)
+        (has(0, 1) & line.rlike(NAVIGATION))
+        | (has(2) & line.rlike(BOILERPLATE))
+        | (has(3) & (_count(line, SYMBOLS) > MAX_SYMBOLS * _dense(line)))
+        | (has(4) & (_count(line, SHOUTS) > MAX_SHOUTS * _count(line, WORDS)))
+        | (has(5) & line.rlike(REPEATS))
     )
 
 
@@ -44,12 +58,14 @@ def clean(docs: DataFrame) -> DataFrame:
     has no text. So null, empty and blank texts are rejected. Rows are judged one by one: repeated rows get equal
     verdicts, and null in another column changes nothing. An empty table gives an empty one; a column of any
     other name is kept as it is; very long texts are judged line by line, whole."""
-    lines = F.split("text", "\n")
-    good = F.filter(lines, lambda x: ~bad_line(x))
-    out = docs.withColumn("_lodestar_text", F.array_join(good, "\n"))
-    dense = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
-    whole, left = dense(F.col("text")), dense(F.col("_lodestar_text"))
-    out = out.where((whole > 0) & (left >= (1 - MAX_LOST) * whole))
+    text = F.col("text")
+    signs = sum((F.when(text.rlike(p), 1 << bit).otherwise(0) for bit, p in enumerate(_SIGNS)), F.lit(0))
+    signed = docs.where("text is not null").withColumn("_lodestar_signs", signs)
+    good = F.filter(F.split("text", "\n"), lambda x: ~bad_line(x, F.col("_lodestar_signs")))
+    left = F.when(F.col("_lodestar_signs") == 0, text).otherwise(F.array_join(good, "\n"))
+    # the cleaned text is an array's only element, so that it is made once and not once more for the filter
+    passed = F.filter(F.array(left), lambda t: (_dense(text) > 0) & (_dense(t) >= (1 - MAX_LOST) * _dense(text)))
+    out = signed.select("*", F.explode_outer(passed).alias("_lodestar_text")).where("_lodestar_text is not null")
     fixed = [F.col("_lodestar_text").alias(c) if c == "text" else F.length("_lodestar_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*fixed)
 

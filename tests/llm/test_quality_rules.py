@@ -29,7 +29,7 @@ def test_table(spark):
 
 
 def test_awkward_rows(spark):
-    rows = [(1, None), (2, ""), (3, " \n "), (None, "A sentence stands here."), (4, "fine text"), (4, "fine text"), (5, "menu\nhome\nok"), (6, "word of text\n" * 60_000), (7, "spam " * 200_000), (8, "x" * 500_000 + " y")]
+    rows = [(1, None), (2, ""), (3, " \n "), (None, "A sentence stands here."), (4, "fine text"), (4, "fine text"), (5, "menu\nhome\nok"), (6, "word of text\n" * 60_000), (7, "spam " * 200_000), (8, "x" * 500_000 + " y"), (9, "\n" * 300_000 + "a fine line"), (10, " \r" * 200_000 + "\nhome")]
     docs = brute.table(spark, rows, extra=["line", "lines", "whole", "left"])
     got = quality_rules.clean(docs)
     assert got.columns == docs.columns
