@@ -92,6 +92,20 @@ def test_unlike_documents_of_one_bucket(spark):
     assert brute.groups([(r.a, r.b) for r in found]) == brute.groups(want)
 
 
+def test_near_one_later_member_only(spark):
+    """80 smaller ids are near b and take it out of every bucket; c is near b alone and is linked all the same."""
+    rng = random.Random(9)
+    unit = [brute.prose(rng, 20, 100_000) for _ in range(54)]
+    b, c = list(range(48)), [*range(10, 48), *range(48, 54)]
+    rows = [(i, " ".join(unit[u] for u in sorted(rng.sample(b[:10], 6) + rng.sample(b[10:], 22)))) for i in range(80)]
+    rows += [(100, " ".join(unit[u] for u in b)), (101, " ".join(unit[u] for u in c))]
+    want = brute.near(rows)
+    assert {a for a, d in want if d == 101} == {100} and sum(d == 100 for _, d in want) > 40
+    found = minhash.near_pairs(brute.table(spark, rows)).collect()
+    assert {(r.a, r.b) for r in found} <= want.keys() and len(found) == len({(r.a, r.b) for r in found})
+    assert brute.groups([(r.a, r.b) for r in found]) == brute.groups(want)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, 300)]
