@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import brute
 from lodestar.llm import minhash
@@ -106,6 +107,21 @@ def test_near_one_later_member_only(spark):
     assert brute.groups([(r.a, r.b) for r in found]) == brute.groups(want)
 
 
+def test_one_document_left_in_a_bucket(spark):
+    """A, b and c alone in a bucket, b near both: c, the only one that A leaves over, is compared with b."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(0, 300, 10):
+        unit = [brute.prose(rng, 20, 100_000) for _ in range(17)]
+        rows += [(i, " ".join(unit[:10])), (i + 1, " ".join(unit[3:13])), (i + 2, " ".join(unit[5:15]))]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    band = {i: h for out in minhash._bands([batch], 1, 1) for h, i in zip(*(c.to_pylist() for c in out.columns))}
+    want = {p for p in brute.near(rows) if band[p[0]] == band[p[1]]}
+    assert any({(i, i + 1), (i + 1, i + 2)} <= want for i in range(0, 300, 10))
+    found = {(r.a, r.b) for r in minhash.near_pairs(brute.table(spark, rows), rows=1, bands=1).collect()}
+    assert found == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, 300)]
