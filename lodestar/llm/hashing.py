@@ -96,6 +96,13 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def run_hashes(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each index of `at` on, for a k of any size: from running sums."""
+    up, down = powers(len(h))
+    total = np.append(np.zeros(1, U), np.cumsum(h * up[: len(h)], dtype=U))
+    return mix((total[at + k] - total[at]) * down[at])
+
+
 def gram_rows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of each k-gram that lies within one row, its row); first: as words() gives it."""
     counts = np.maximum(np.diff(first) - k + 1, 0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,52 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", n: int | None = None) -> DataFrame:
+#: Makes Spark delete the shuffle files of a query once it has ended; a lost executor still finds them while it runs.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin in here leave no shuffle files behind."""
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
+class Work:
+    """Tables that an operator writes to the shared folder, to be read several times, and drops when they are used up."""
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.root = spark, work_dir(spark, what)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """df, computed once and written; no lost executor makes it run again, and its shuffle files go at once."""
+        with tidy(self.spark):
+            df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it unlike df's columns, however they are written."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id", n: int | None = None) -> DataFrame:
     """docs joined to the narrow table `ids` on `key`.
 
     `ids` is counted first: up to BROADCAST_ROWS it is broadcast, so that texts stay where they are;
