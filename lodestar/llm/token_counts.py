@@ -89,8 +89,8 @@ class PrefixCounter:
                 break
         return count[1:]
 
-    def part(self, text: str) -> bytes:
-        """Counts after each character of a part, as unsigned 32-bit numbers if one is over 254, else as bytes."""
+    def part(self, text: str) -> bytes | np.ndarray:
+        """Counts after each character of a part: as bytes, which are remembered, or as numbers where one doesn't fit a byte."""
         raw = text.encode()
         if text in ("'re", "'ve", "'ll"):  # two of the three characters are a quote and a word
             found = bytes([1, 2, self.counts(raw)[-1]])
@@ -99,18 +99,14 @@ class PrefixCounter:
             if len(raw) != len(text):
                 ends = np.cumsum([len(c.encode()) for c in text])
                 count = [count[e - 1] for e in ends.tolist()]
-            if max(count) > 254:
-                raise OverflowError
+            if max(count) > 255:
+                return np.asarray(count, np.int32)
             found = bytes(count)
         if len(self.parts) >= REMEMBERED:
             self.parts.clear()
         self.parts[text] = found
         return found
 
-    def long_part(self, text: str) -> np.ndarray:
-        count = np.asarray(self.counts(text.encode()), np.int32)
-        return count[np.cumsum([len(c.encode()) for c in text]) - 1]
-
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of the prefixes of 0, 1, 2, ... characters."""
         out = np.zeros(len(text) + 1, np.int32)
@@ -118,13 +114,12 @@ class PrefixCounter:
             return out
         plain = _PLAIN.search(text) is None
         parts = (_FAST if plain else _FULL).findall(text)
-        known, get, make = [], self.parts.get, self.part
-        try:
-            for p in parts:
-                known.append(get(p) or make(p))
+        get, make = self.parts.get, self.part
+        known = [get(p) or make(p) for p in parts]
+        if any(type(k) is not bytes for k in known):
+            inner = np.concatenate([np.frombuffer(k, np.uint8).astype(np.int32) if type(k) is bytes else k for k in known])
+        else:
             inner = np.frombuffer(b"".join(known), np.uint8).astype(np.int32)
-        except OverflowError:
-            inner = np.concatenate([self.long_part(p) if len(p) > 254 else np.frombuffer(get(p) or make(p), np.uint8).astype(np.int32) for p in parts])
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         total = inner[np.cumsum(size) - 1]
         out[1:] = inner + np.repeat(np.cumsum(total) - total, size)
@@ -172,11 +167,11 @@ def token_counts(docs: DataFrame, path: str = PATH) -> DataFrame:
 
 
 def tokens_before(prefix_tokens: Column, characters: Column) -> Column:
-    """Tokens of the first `characters` characters."""
-    return F.try_element_at(prefix_tokens, (characters + 1).cast("int"))
+    """Tokens of the first `characters` characters; null where that is negative or more than there are, and of a null."""
+    return F.try_element_at(prefix_tokens, F.when(characters >= 0, (characters + 1).cast("int")))
 
 
 def longest_prefix(prefix_tokens: Column, budget: int) -> Column:
-    """Characters of the longest prefix of at most `budget` tokens."""
+    """Characters of the longest prefix of at most `budget` tokens; null where that is negative, as no prefix fits, and of a null."""
     fits = F.array_position(F.transform(F.reverse(prefix_tokens), lambda n: n <= budget), F.lit(True))
-    return (F.size(prefix_tokens) - fits).cast("int")
+    return F.when(fits > 0, F.size(prefix_tokens) - fits).cast("int")

@@ -53,6 +53,23 @@ def test_halves_of_hard_texts(text, path):
         assert bpe.encode(text, path, leaf) == encoding(path).encode_ordinary(text)
 
 
+DENSE = ["日本語文字処理漢字" * 12, "中" * 130, "𝔘𝔫𝔦" * 60, "😀🤖🧬" * 34, "🏳️‍🌈" * 60, "é́̂" * 100, "한국어" * 100, "ก็" * 130, "a" + "́" * 300]
+
+
+@pytest.mark.parametrize("text", DENSE)
+def test_parts_of_more_tokens_than_a_byte_counts(text):
+    """Scripts without white space: one part of 100 to 400 characters has more tokens than characters."""
+    for whole in (text, f"before {text}  after {text}", text[:100]):
+        assert token_counts.counter().prefixes(whole).tolist() == _prefixes(whole, token_counts.PATH)
+
+
+def test_dense_rows(spark):
+    rows = list(enumerate(DENSE))
+    got = {r.doc_id: (r.n_tokens, r.prefix_tokens) for r in token_counts.token_counts(brute.table(spark, rows)).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: len(encoding().encode_ordinary(t)) for i, t in rows}
+    assert all(len(p) == len(t) + 1 and p[-1] == n for (i, t), (n, p) in zip(rows, (got[i] for i, _ in rows)))
+
+
 def test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -86,3 +103,11 @@ def test_budgets(spark):
     assert row.five == full[5]
     for b in range(12):
         assert row[f"b{b}"] == max(i for i, n in enumerate(full) if n <= b)
+
+
+def test_arguments_that_nothing_fits(spark):
+    counted = token_counts.token_counts(brute.table(spark, [(1, "a b c"), (2, ""), (3, None)]))
+    p = F.col("prefix_tokens")
+    asked = {"none": token_counts.longest_prefix(p, -1), "empty": token_counts.longest_prefix(p, 0), "below": token_counts.tokens_before(p, F.lit(-1)), "beyond": token_counts.tokens_before(p, F.lit(99)), "start": token_counts.tokens_before(p, F.lit(0))}
+    rows = {r.doc_id: r for r in counted.select("doc_id", *[c.alias(n) for n, c in asked.items()]).collect()}
+    assert [tuple(rows[i])[1:] for i in (1, 2, 3)] == [(None, 0, None, None, 0), (None, 0, None, None, 0), (None,) * 5]
