@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one or two integers that may be broadcast; 2 million take about 60 MB. Beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of wider rows that may be broadcast, as they lie in memory.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +32,21 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _file(spark, path)
+    return system.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, where = _file(spark, path)
+    system.delete(where, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder, so that no lost executor makes it run again."""
     shared_dir(df.sparkSession)
@@ -54,8 +71,8 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 class Work:
     """Tables that an operator writes to the shared folder, to be read several times, and drops when they are used up."""
 
-    def __init__(self, spark: SparkSession, what: str) -> None:
-        self.spark, self.root = spark, work_dir(spark, what)
+    def __init__(self, spark: SparkSession, what: str = "work", root: str | None = None) -> None:
+        self.spark, self.root = spark, root or work_dir(spark, what)
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         """df, computed once and written; no lost executor makes it run again, and its shuffle files go at once."""
@@ -65,8 +82,7 @@ class Work:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -81,11 +97,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id", n: int | None = None) -> DataFrame:
+def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id", n: int | None = None, size: int | None = None) -> DataFrame:
     """docs joined to the narrow table `ids` on `key`.
 
-    `ids` is counted first: up to BROADCAST_ROWS it is broadcast, so that texts stay where they are;
-    beyond that both sides are hash-partitioned and the narrow one is the build side."""
-    n = ids.count() if n is None else n
-    side = F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("shuffle_hash")
+    `ids` is counted first (n, if it isn't known): up to BROADCAST_ROWS it is broadcast, so that texts stay where they are; beyond that both
+    sides are hash-partitioned and the narrow one is the build side. size: bytes of the table, if its rows aren't narrow, of
+    which BROADCAST_BYTES are broadcast."""
+    if size is not None:
+        small = size <= BROADCAST_BYTES
+    else:
+        small = (ids.count() if n is None else n) <= BROADCAST_ROWS
+    side = F.broadcast(ids) if small else ids.hint("shuffle_hash")
     return docs.join(side, key, how)
+
+
+def lists_size(lists: DataFrame, column: str, width: int) -> int:
+    """Bytes in memory of a table of a doc_id and a list of elements of `width` bytes."""
+    n, total = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
+    return 64 * n + width * total
