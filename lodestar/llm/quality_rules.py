@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.shared import fresh
+
 #: Lines that hold any of these are boilerplate.
 BOILERPLATE = r"(?i)(lorem ipsum|cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|javascript is disabled|use of cookies|subscribe to our|sign up for|click here|share on (facebook|twitter)|add to cart|skip to (main )?content)"
 #: Bars, arrows and bullets that part the entries of a navigation line; and lines that are one menu word.
@@ -60,13 +62,14 @@ def clean(docs: DataFrame) -> DataFrame:
     other name is kept as it is; very long texts are judged line by line, whole."""
     text = F.col("text")
     signs = sum((F.when(text.rlike(p), 1 << bit).otherwise(0) for bit, p in enumerate(_SIGNS)), F.lit(0))
-    signed = docs.where("text is not null").withColumn("_lodestar_signs", signs)
-    good = F.filter(F.split("text", "\n"), lambda x: ~bad_line(x, F.col("_lodestar_signs")))
-    left = F.when(F.col("_lodestar_signs") == 0, text).otherwise(F.array_join(good, "\n"))
+    mark, made = fresh(docs, "signs", "made")
+    signed = docs.where("text is not null").withColumn(mark, signs)
+    good = F.filter(F.split("text", "\n"), lambda x: ~bad_line(x, F.col(mark)))
+    left = F.when(F.col(mark) == 0, text).otherwise(F.array_join(good, "\n"))
     # the cleaned text is an array's only element, so that it is made once and not once more for the filter
     passed = F.filter(F.array(left), lambda t: (_dense(text) > 0) & (_dense(t) >= (1 - MAX_LOST) * _dense(text)))
-    out = signed.select("*", F.explode_outer(passed).alias("_lodestar_text")).where("_lodestar_text is not null")
-    fixed = [F.col("_lodestar_text").alias(c) if c == "text" else F.length("_lodestar_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    out = signed.select("*", F.explode_outer(passed).alias(made)).where(F.col(made).isNotNull())
+    fixed = [F.col(made).alias(c) if c == "text" else F.length(made).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*fixed)
 
 

@@ -30,8 +30,10 @@ def test_table(spark):
 
 def test_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (None, "A sentence stands here."), (4, "fine text"), (4, "fine text"), (5, "menu\nhome\nok"), (6, "word of text\n" * 60_000), (7, "spam " * 200_000), (8, "x" * 500_000 + " y"), (9, "\n" * 300_000 + "a fine line"), (10, " \r" * 200_000 + "\nhome")]
-    docs = brute.table(spark, rows, extra=["line", "lines", "whole", "left"])
+    docs = brute.table(spark, rows, extra=["line", "lines", "whole", "left", "signs", "Made", "_made"])
     got = quality_rules.clean(docs)
     assert got.columns == docs.columns
+    same = ["signs", "Made", "_made"]
+    assert {tuple(r[c] for c in same) for r in got.collect()} == {tuple(r[c] for c in same) for r in docs.collect()}
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(i, t) for i, x in rows if (t := brute.cleaned(x)) is not None], key=str)
     assert quality_rules.clean(docs.limit(0)).collect() == []
