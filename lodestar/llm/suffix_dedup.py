@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.llm.hashing import PLAIN, U, gram_rows, grams, least_of, slices, winnow, words
-from lodestar.llm.shared import kept, with_ids
+from lodestar.llm.shared import Work, lists_size, with_ids
 from lodestar.llm.suffix_array import permuted_lcp, suffix_array
 
 #: Least length of a repeat, in words.
@@ -210,9 +210,9 @@ def repeats(docs: DataFrame, least: int = WORDS, part: int = PART, array: int =
     first = F.min(F.struct("doc_id", "pos")).over(w)
     linked = anchors.select("doc_id", "pos", F.count("*").over(w).alias("n"), first.alias("first")).where("n > 1")
     marks = linked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.xxhash64("first.doc_id", F.floor(F.col("first.pos") / 256)).alias("shard"))).alias("marks"))
-    marks = kept(marks)
-    n = marks.count()
-    parts = with_ids(docs, marks, "inner", n=n * 16).select("doc_id", "text", "marks").mapInArrow(lambda it: _parts(it, least, part), "shard long, doc_id long, at int, text string, anchors array<int>")
+    work = Work(docs.sparkSession, "repeats")
+    marks = work.keep("marks", marks)
+    parts = with_ids(docs, marks, "inner", size=lists_size(marks, "marks", 40)).select("doc_id", "text", "marks").mapInArrow(lambda it: _parts(it, least, part), "shard long, doc_id long, at int, text string, anchors array<int>")
     sorted_ = parts.repartition(F.col("shard")).sortWithinPartitions("shard")
     spans = sorted_.mapInArrow(lambda it: _sort_shards(it, least, array), "doc_id long, start long, end long, other_id long")
     return merged(spans, "doc_id", "other_id", overlap=least - 1).select("doc_id", "other_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
