@@ -125,12 +125,18 @@ def by_paragraphs(docs: DataFrame, limit: int, separator: str = "\n\n") -> DataF
     return numbered(docs.select("doc_id", paragraph_chunks(F.col("text"), limit, separator).alias("parts")), "parts")
 
 
-def chunk_texts(docs: DataFrame, config: Config = Config(), separator: str = "\n\n") -> DataFrame:
+def chunk_texts(docs: DataFrame, config: Config = Config(), separator: str = "\n\n", regex_model: Callable | None = None) -> DataFrame:
     """documents(doc_id, text) -> chunks with chapter_title and chapter_index ("2/7"); null where no rule fits and paragraphs serve.
 
+    regex_model: makes a model that is asked for a pattern of titles where no rule fits; its answers are had once, as the
+    rows are used once.
+
     Chapters up to the soft limit are one chunk; longer ones are gathered by paragraph; numbers run on over the chapters."""
     ruled = docs.select("doc_id", "text", chapter_rule(F.col("text"), config).alias("rule"))
-    found = ruled.withColumn("chapters", F.coalesce(chapters(F.col("text"), F.col("rule")), F.array().cast("array<struct<title:string,text:string>>")))
+    ruled_chapters = chapters(F.col("text"), F.col("rule"))
+    if regex_model is not None:
+        ruled_chapters = F.when(F.col("rule").isNull(), model_chapters(F.col("text"), regex_model, config)).otherwise(ruled_chapters)
+    found = ruled.withColumn("chapters", F.coalesce(ruled_chapters, F.array().cast("array<struct<title:string,text:string>>")))
     whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.col("text").alias("text")))
     total = F.size("chapters")
     rows = found.select("doc_id", total.alias("total"), F.posexplode(F.when(total > 0, F.col("chapters")).otherwise(whole)).alias("i", "chapter"))
@@ -151,14 +157,10 @@ def _window(part: str, *order: str):
 
 def parse_regex_answer(answer: str) -> str | None:
     """The pattern in a model's answer: what follows "regex:" on the last line that begins so, else all of it; NONE and blank give None."""
-    found = answer
-    for line in reversed(answer.splitlines()):
-        line = line.strip().strip("`").strip()
-        if line.lower().startswith("regex:"):
-            found = line[len("regex:") :]
-            break
-    found = found.strip().strip("`").strip()
-    return None if not found or found.upper() == "NONE" else found
+    bare = [line.strip().strip("`").lstrip() for line in answer.splitlines()]
+    marked = [line[6:] for line in bare if line[:6].lower() == "regex:"]
+    pattern = (marked or [answer])[-1].strip().strip("`").strip()
+    return pattern if pattern and pattern.upper() != "NONE" else None
 
 
 def model_chapter_regex(text: str, ask: Callable[[str], str], config: Config = Config()) -> str | None:
@@ -185,3 +187,18 @@ def chapters_by(pattern: str, text: str) -> list[tuple[str, str]]:
     """(title, text) of the chapters that a pattern finds in one text; for patterns that a model gave."""
     at = [(m.start(), m.group(0).strip()) for m in re.finditer(pattern, text, re.MULTILINE)]
     return [(title, text[begin : at[i + 1][0] if i + 1 < len(at) else len(text)].strip()) for i, (begin, title) in enumerate(at)]
+
+
+def model_chapters(text: Column, make: Callable, config: Config = Config()) -> Column:
+    """array<struct<title,text>> by a pattern that a model gives; null where it gives none that serves."""
+
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for batch in batches:
+            out = []
+            for t in batch:
+                pattern = model_chapter_regex(t, model.ask, config) if t else None
+                out.append([{"title": a, "text": b} for a, b in chapters_by(pattern, t)] if pattern else None)
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(find, "array<struct<title:string,text:string>>").asNondeterministic()(text)

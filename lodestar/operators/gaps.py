@@ -93,14 +93,15 @@ def admitted(candidates: list[tuple], lengths: dict[tuple, int], config: Config)
 def fill(candidates: DataFrame, store: DataFrame, config: Config = Config()) -> DataFrame:
     """candidates(query_id, doc_id, chunk_index) and store(doc_id, chunk_index, length) -> query_id, doc_id, chunk_index, origin within the budgets.
 
-    Chunks that are in the store twice count as one, the longer."""
+    Of a chunk that is in the store several times the last one counts: by `ord`, where the store has that column, else the longest."""
     keys = ["query_id", "doc_id", "chunk_index"]
     kind = {f: candidates.schema[f].dataType.simpleString() for f in keys}
     own = candidates.select(*keys)
     near = gap_keys(own, config.gap_fill_width).unionByName(own)
     if config.neighbor_width:
         near = near.unionByName(neighbour_keys(near, config.neighbor_width))
-    sized = store.groupBy("doc_id", "chunk_index").agg(F.max("length").alias("length"))
+    last = F.max_by("length", "ord") if "ord" in store.columns else F.max("length")
+    sized = store.groupBy("doc_id", "chunk_index").agg(last.alias("length"))
     eligible = near.distinct().join(sized, ["doc_id", "chunk_index"]).select(*keys, "length", F.lit(False).alias("mine"))
     every = eligible.unionByName(own.select(*keys, F.lit(None).cast("int").alias("length"), F.lit(True).alias("mine")))
 

@@ -14,9 +14,10 @@ MISSING = "LLM 未返回评分"
 
 def overlap_scores(candidates: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """The stand-in for a cross-encoder: share of the query's terms that the document holds; candidates get cross_encoder_score."""
+    # texts meet the candidates before they are split, so that only those of candidates are
     q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("_q"))
-    d = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("_d"))
-    joined = candidates.join(q, "query_id").join(d, "doc_id")
+    joined = candidates.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id").join(q, "query_id")
+    joined = joined.withColumn("_d", tokens(F.col("_text"))).drop("_text")
     share = F.size(F.array_intersect("_q", "_d")) / F.nullif(F.size("_q"), F.lit(0))
     return joined.withColumn("cross_encoder_score", F.round(F.coalesce(share, F.lit(0.0)), 6)).drop("_q", "_d")
 

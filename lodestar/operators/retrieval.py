@@ -1,22 +1,28 @@
-"""Retrieval: BM25 over postings, exact vector search, reciprocal-rank fusion and the hybrid search made of them.
+"""Retrieval: BM25 over documents or a kept index, exact vector search, reciprocal-rank fusion and the hybrid search made of them.
 
 All take many queries at once; every stage is grouped by query_id, so a thousand queries are one job."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import log
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lodestar.config import Config
 
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
-#: Terms of queries that may be broadcast; beyond that the join shuffles.
-BROADCAST_TERMS = 1_000_000
+#: Pairs of a query and a term that go to the tasks at once, some 10 MB; more are asked in several passes.
+BLOCK = 200_000
+#: Partitions of the kept full-text index, by a hash of the term.
+BUCKETS = 64
 
 
 def tokens(text: Column, bigrams: bool = False) -> Column:
@@ -40,49 +46,187 @@ def top(df: DataFrame, k: int, score: str, *ties: str, by: str = "query_id", ran
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+class _Best:
+    """The k best rows of each query so far: by score, falling, then by doc_id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
+
+    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        if self.held[q] is not None:
+            scores, ids = np.append(self.held[q][0], scores), np.append(self.held[q][1], ids)
+        if len(scores) > self.k:
+            order = np.lexsort((ids, -scores))[: self.k]
+            scores, ids = scores[order], ids[order]
+            self.least[q] = scores[-1]
+        self.held[q] = scores, ids
+
+    def rows(self, queries: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        some = [q for q, held in enumerate(self.held) if held is not None and len(held[0])]
+        for i in range(0, len(some), 1024):
+            part = some[i : i + 1024]
+            at = np.repeat(part, [len(self.held[q][0]) for q in part])
+            ids, scores = (np.concatenate([self.held[q][x] for q in part]) for x in (1, 0))
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(at)), pa.array(ids, kind), pa.array(scores)], names=["query_id", "doc_id", "score"])
+
+
+class _Asked:
+    """The terms of a block of queries, and which queries ask for each."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        names = rows["query_id"].combine_chunks().dictionary_encode()
+        terms = rows["term"].combine_chunks().dictionary_encode()
+        self.queries, self.terms = names.dictionary, terms.dictionary
+        term, query = terms.indices.to_numpy(), names.indices.to_numpy()
+        order = np.lexsort((query, term))
+        self.of = query[order].astype(np.int64)
+        self.begin = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+
+    def postings(self, t: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, tf) of the terms that are asked for, by row."""
+        at = pc.index_in(t.flatten(), value_set=self.terms).fill_null(-1).to_numpy().astype(np.int64)
+        rows = np.repeat(np.arange(len(t)), np.diff(t.offsets.to_numpy()))
+        key, tf = np.unique((rows * len(self.terms) + at)[at >= 0], return_counts=True)
+        return key // len(self.terms), key % len(self.terms), tf
+
+    def counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, dl, t) -> (term, n): documents that hold each term; at -1 all of them, at -2 their words."""
+        df, n, words = np.zeros(len(self.terms), np.int64), 0, 0
+        for batch in batches:
+            df += np.bincount(self.postings(batch.column(2))[1], minlength=len(df))
+            n, words = n + batch.num_rows, words + (pc.sum(batch.column(1)).as_py() or 0)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, [-1, -2])), pa.array(np.append(df[held], [n, words]))], names=["term", "n"])
+
+    def scored(self, batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, k: int, config: Config, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """(doc_id, dl, t) -> the k best documents of each query in this partition: (query_id, doc_id, score)."""
+        n, best, asked = len(self.queries), _Best(len(self.queries), k), np.diff(self.begin)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            row, term, tf = self.postings(batch.column(2))
+            dl = batch.column(1).to_numpy()[row]
+            gain = idf[term] * tf * (config.bm25_k1 + 1) / (tf + config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * dl / mean))
+            step = max(1, min(1024, (1 << 22) // n))  # documents whose scores for all queries are held at once
+            for low in range(0, len(ids), step):
+                lo, hi = np.searchsorted(row, (low, low + step))
+                size = asked[term[lo:hi]]
+                if not size.sum():
+                    continue
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[term[lo:hi]], size)
+                cell = self.of[at] * step + np.repeat(row[lo:hi] - low, size)
+                total = np.bincount(cell, np.repeat(gain[lo:hi], size), n * step).reshape(n, step)
+                rounded = np.round(total, 6)
+                good = (total > 0) & (rounded >= best.least[:, None])
+                for q in np.flatnonzero(good.any(axis=1)).tolist():
+                    x = np.flatnonzero(good[q])
+                    best.add(q, rounded[q, x], ids[low + x])
+        yield from best.rows(self.queries, kind)
+
+
+def _in_blocks(queries: DataFrame, size: int) -> Iterator[pa.Table]:
+    """Rows of queries at the driver, all rows of a query in one block; blocks have some `size` rows, and are asked one after the other."""
+    n = max(1, -(-queries.count() // size))
+    for i in range(n):
+        found = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow()
+        if found.num_rows:
+            yield found
+
+
+def _together(found: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None, config: Config = Config()) -> DataFrame:
     """documents(doc_id, text) and queries(query_id, text) -> query_id, doc_id, score (6 decimals), rank.
 
-    Only terms of some query leave the scan; document lengths are had row by row. A document without a query term has no row."""
+    The terms of the queries, BLOCK at a time, go to the documents: one pass counts documents, words and the documents of
+    each term, and the next one scores every document where it stands. Each task keeps the k best of a query, and these
+    rows are all that is shuffled. Every row with a doc_id and a text is a document; one without a query term has no row."""
+    k = k or config.hybrid_top_k
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
-    split = docs.where("text is not null").select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
-    stats = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n_terms = terms.count()
-    wanted = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    hits = split.select("doc_id", "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    tf = hits.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = df.join(F.broadcast(stats), how="cross").select("term", idf.alias("idf"), "avgdl")  # one row of statistics
-    gain = F.col("idf") * F.col("tf") * (config.bm25_k1 + 1) / (F.col("tf") + config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(weighted, "term").select("term", "doc_id", gain.alias("gain")).join(asked, "term")
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("gain"), 6).alias("score"))
-    return top(total, k or config.hybrid_top_k, "score", "doc_id")
+    split = docs.where("doc_id is not null and text is not null").select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    found = []
+    for rows in _in_blocks(asked, BLOCK):
+        block = _Asked(rows)
+        counts = {r.term: r.n for r in split.mapInArrow(block.counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term of the block
+        n = counts.get(-1, 0)
+        df = [counts.get(i, 0) for i in range(len(block.terms))]
+        idf = np.array([log(1 + (n - d + 0.5) / (d + 0.5)) for d in df])
+        mean = counts.get(-2, 0) / n if n else 1.0
+        found.append(split.mapInArrow(lambda it, b=block, i=idf, m=mean: b.scored(it, i, m, k, config, kind), schema))
+    return top(_together(found, docs.sparkSession, schema), k, "score", "doc_id")
+
+
+def kept_postings(chunks: DataFrame) -> DataFrame:
+    """Chunks(id, doc_id, text) as rows of the kept full-text index, which is partitioned by `bucket`, a hash of the term."""
+    rows = postings(chunks.where("text is not null").select(F.struct("id", "doc_id").alias("doc_id"), "text"))
+    return rows.select(_bucket("term").alias("bucket"), "term", F.col("doc_id.id").alias("id"), F.col("doc_id.doc_id").alias("doc_id"), "dl", "tf")
+
+
+def kept_lengths(chunks: DataFrame) -> DataFrame:
+    """Of each file the number of its chunks and of their words: what a search needs to know of documents without its terms."""
+    return chunks.where("text is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.size(tokens(F.col("text")))).cast("long").alias("words"))
+
+
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def bm25_kept(index: DataFrame, lengths: DataFrame, queries: DataFrame, enabled: DataFrame | None = None, k: int | None = None, config: Config = Config()) -> DataFrame:
+    """bm25() from a kept index (kept_postings(), kept_lengths()): query_id, id, score, rank.
+
+    Only the buckets and terms that are asked for are read, so a search costs what its terms' postings cost, not a scan of
+    the texts. enabled(doc_id): the files that count; all if there is none. For BLOCK terms of queries at most."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("bucket", _bucket("term"))
+    rows = asked.limit(BLOCK + 1).collect()
+    if len(rows) > BLOCK:
+        raise ValueError(f"over {BLOCK} terms: ask in blocks")
+    hits = index.where(F.col("bucket").isin(sorted({r.bucket for r in rows})) & F.col("term").isin(sorted({r.term for r in rows})))
+    if enabled is not None:
+        hits, lengths = hits.join(enabled, "doc_id", "left_semi"), lengths.join(enabled, "doc_id", "left_semi")
+    n, words = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.broadcast(df.select("term", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))  # a row for each term that is asked for
+    gain = F.col("idf") * F.col("tf") * (config.bm25_k1 + 1) / (F.col("tf") + config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * F.col("dl") / F.lit(words / n if n else 1.0)))
+    scored = hits.join(idf, "term").select("term", "id", gain.alias("gain")).join(F.broadcast(asked.select("query_id", "term")), "term")
+    return top(scored.groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score")), k or config.hybrid_top_k, "score", "id")
 
 
 def nearest(store: DataFrame, queries: DataFrame, k: int | None = None, config: Config = Config(), block: int = 4096) -> DataFrame:
     """store(doc_id, vector) and queries(query_id, vector) -> query_id, doc_id, score (dot product, 6 decimals), rank; exact.
 
-    Vectors travel in blocks: each pair of blocks is one matrix product and gives the k best of each query, so what is
-    shuffled is k rows for each query and block and not each pair of vectors."""
+    Blocks of queries go to the store's partitions: each batch of vectors is one matrix product, a task keeps the k best of
+    each query, and these rows are all that is shuffled. Vectors of the store don't move. Rows without a vector or an id don't count."""
     k = k or config.hybrid_top_k
+    kind = to_arrow_type(store.schema["doc_id"].dataType)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {store.schema['doc_id'].dataType.simpleString()}, score double"
+    rows = store.where("doc_id is not null and vector is not null").select("doc_id", "vector")
+
+    def best(batches: Iterator[pa.RecordBatch], names: pa.Array, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = _Best(len(names), k)
+        for batch in batches:
+            ids, all_ = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            for low in range(0, len(ids), 1024):
+                scores = np.round(asked @ all_[low : low + 1024].T, 6)
+                good = scores >= found.least[:, None]
+                for q in np.flatnonzero(good.any(axis=1)).tolist():
+                    x = np.flatnonzero(good[q])
+                    found.add(q, scores[q, x], ids[low + x])
+        yield from found.rows(names, kind)
+
+    found = []
+    for part in _in_blocks(queries.where("query_id is not null and vector is not null").select("query_id", "vector"), block):
+        names, asked = part["query_id"].combine_chunks(), _matrix(part["vector"].combine_chunks())
+        found.append(rows.mapInArrow(lambda it, n=names, a=asked: best(it, n, a), schema))
+    return top(_together(found, store.sparkSession, schema), k, "score", "doc_id")
+
 
-    def blocks(df: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
-        n = max(1, -(-df.count() // block))
-        return df.where("vector is not null").groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("_b")).agg(F.collect_list(key).alias(names[0]), F.flatten(F.collect_list(F.col("vector").cast("array<double>"))).alias(names[1])).drop("_b")
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qs, qv, ds, dv in zip(pdf["q"], pdf["qv"], pdf["d"], pdf["dv"]):
-                ids = np.asarray(ds)
-                scores = np.round(np.asarray(qv).reshape(len(qs), -1) @ np.asarray(dv).reshape(len(ids), -1).T, 6)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(np.asarray(qs), order.shape[1]), "doc_id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-
-    pairs = blocks(queries, "query_id", ("q", "qv")).crossJoin(blocks(store, "doc_id", ("d", "dv")))
-    spread = pairs.repartition(int(store.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return top(spread.mapInPandas(best, "query_id long, doc_id long, score double"), k, "score", "doc_id")
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), -1)
 
 
 def near_bucketed(store: DataFrame, queries: DataFrame, k: int, tables: int = 8, length: float = 2.0) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -20,7 +21,23 @@ from lodestar.config import Config
 
 class Ocr(Protocol):
     def pages(self, content: bytes) -> list[dict]:
-        """Rows of page, text, words, avg_confidence, error; a page that fails has an error and no text."""
+        """Rows of page (from 1), text or words (value, confidence, x1, y1, x2, y2), avg_confidence, error; a page that fails has an error and no text."""
+
+
+class PageModel(Protocol):
+    def reply(self, talk: list[dict], forced: bool) -> dict:
+        """The next step after the messages (role, content): {"tool": "fetch_page", "page": n}, {"tool": "submit_chunks", "chunks": [...]}, or
+        {"text": ...}, which holds the chunks; forced: it has to submit."""
+
+
+class FixModel(Protocol):
+    def fix(self, lines: list[dict]) -> list[dict]:
+        """For rows of id, text, before and after: rows of id and action, which is merge_before, merge_after or standalone."""
+
+
+class RegexModel(Protocol):
+    def ask(self, prompt: str) -> str:
+        """An answer whose last line is "regex:" and a pattern of chapter titles, or NONE."""
 
 
 class Embedder(Protocol):
@@ -77,6 +94,50 @@ class FirstLines:
         return "\n".join(message.splitlines()[:5]), len(message), 0
 
 
+class WholePages:
+    """A page model: each page that it is shown is one chunk, with a table if a line begins with a bar."""
+
+    def reply(self, talk: list[dict], forced: bool) -> dict:
+        chunks, rows = [], talk[0]["content"].split("\n")
+        heads = [(i, m) for i, x in enumerate(rows) if (m := re.match(r"\[第(\d+)页，共\d+页\]", x))] + [(len(rows), None)]
+        for (at, m), (end, _) in zip(heads, heads[1:]):
+            body = [x for x in rows[at + 1 : end] if re.match(r"L\d+: ", x)]
+            if body:
+                kind = "table" if any(re.match(r"L\d+: \s*\|", x) for x in body) else "text"
+                chunks.append({"chunk_type": kind, "context_summary": "", "segments": [{"page": int(m[1]), "line_range": [1, int(re.match(r"L(\d+)", body[-1])[1])]}]})
+        return {"tool": "submit_chunks", "chunks": chunks}
+
+
+class StandAlone:
+    """A fix model without answers: every line stands alone."""
+
+    def fix(self, lines: list[dict]) -> list[dict]:
+        return []
+
+
+class Retrying:
+    """A provider whose calls are made again by with_retry(); for those that talk to a service."""
+
+    def __init__(self, inner: object, config: Config = Config(), wait: Callable[[float], None] = time.sleep) -> None:
+        self._inner, self._config, self._wait = inner, config, wait
+
+    def __getattr__(self, name: str):
+        call = getattr(self._inner, name)
+        return lambda *args: with_retry(lambda: call(*args), self._config, self._wait)
+
+
+class ToolScorer:
+    """A chunk scorer over a model that is given the chunks and calls a tool with their scores: send(message) -> (calls, tokens in, tokens out)."""
+
+    def __init__(self, send: Callable[[str], tuple[list[tuple[str, str]], int, int]]) -> None:
+        self.send = send
+
+    def score(self, query: str, chunks: list[tuple[str, str]]) -> tuple[list[dict], int, int]:
+        shown = "\n\n".join(f"[{c}]\n{t}" for c, t in chunks)
+        calls, used, made = self.send(f"{query}\n\n{shown}")
+        return tool_scores(calls), used, made
+
+
 def embedded(df: DataFrame, make: Callable[[], Embedder], column: str = "text", config: Config = Config()) -> DataFrame:
     """df with `vector`; the embedder is made once in each worker and gets batches of the configured size. It isn't deterministic to Spark, so it isn't run twice unasked."""
 

@@ -8,9 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Scratch:
+    """Tables that a plan writes once and reads several times, in a folder that all executors reach; close() drops them."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Table:
-    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    """by: a column whose values are folders, so that a filter on it reads those only."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, by: str | None = None) -> None:
+        self.spark, self.root, self.schema, self.by = spark, root.rstrip("/"), schema, by
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -35,7 +52,7 @@ class Table:
         """A new version; the one before stays until vacuum()."""
         name = f"v-{uuid.uuid4().hex}"
         columns = self.read().schema
-        df.select(*[F.col(f.name).cast(f.dataType) for f in columns]).write.parquet(f"{self.root}/{name}")
+        self._writer(df.select(*[F.col(f.name).cast(f.dataType) for f in columns])).parquet(f"{self.root}/{name}")
         self._point(name)
 
     def append(self, df: DataFrame) -> None:
@@ -45,7 +62,10 @@ class Table:
             self.write(df)
         else:
             columns = self.read().schema
-            df.select(*[F.col(f.name).cast(f.dataType) for f in columns]).write.mode("append").parquet(f"{self.root}/{found}")
+            self._writer(df.select(*[F.col(f.name).cast(f.dataType) for f in columns])).mode("append").parquet(f"{self.root}/{found}")
+
+    def _writer(self, df: DataFrame):
+        return df.repartition(self.by).write.partitionBy(self.by) if self.by else df.write
 
     def _point(self, name: str) -> None:
         stream = self._fs.create(self._path(f"{self.root}/CURRENT"), True)

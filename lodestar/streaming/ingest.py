@@ -8,13 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.config import Config
 from lodestar.operators.chunking import chunk_texts
-from lodestar.sources.files import BINARY
+from lodestar.sources.files import BINARY, decode
 
 
 def document_stream(spark: SparkSession, folder: str) -> DataFrame:
     """documents(doc_id, doc_name, text) of text files as they appear, one row each."""
     files = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", "*.txt").load(folder)
-    return files.select(F.md5("content").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("doc_name"), F.decode("content", "UTF-8").alias("text"))
+    return files.select(F.md5("content").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("doc_name"), decode(F.col("content")).alias("text"))
 
 
 def ingest(docs: DataFrame, chunks_path: str, checkpoint: str, config: Config = Config(), separator: str = "\n\n") -> StreamingQuery:
