@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.shared import kept
+from lodestar.llm.shared import Work
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,11 +25,13 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of the pairs that isn't the least of its component; root is the least one.
 
-    The number of rounds grows with the logarithm of the longest path; each ends in a checkpoint."""
-    edges = kept(pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
-    before = None
+    The number of rounds grows with the logarithm of the longest path; each ends in a table that is written."""
+    work = Work(pairs.sparkSession, "components")
+    edges = work.keep("0", pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    before, i = None, 0
     while True:
-        edges = kept(_step(_step(edges, True), False))
+        edges, i = work.keep(f"{i + 1}", _step(_step(edges, True), False)), i + 1
+        work.drop(f"{i - 1}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
