@@ -75,8 +75,14 @@ def _may_split(char: str, at_end: bool) -> bool:
     return char.isalpha() and char.upper() not in "IVX" and not (at_end and char.isupper())
 
 
+#: What any glued numeral looks like: most words don't, and are left alone at once.
+_GLUE = re.compile(rf"[^\W\d_](?:{'|'.join(sorted((w for w, _ in GLUED), key=len, reverse=True))})(?![^\W\d_])")
+
+
 def split_glued(core: str) -> str:
     """PartnersIll -> Partners III; a numeral inside is parted only if no letter follows it."""
+    if not _GLUE.search(core):
+        return core
     for wrong, right in GLUED:
         if core.endswith(wrong) and len(core) > len(wrong):
             base = core[: -len(wrong)].rstrip()
@@ -137,7 +143,8 @@ def correct_entities(text: str, entities: tuple[str, ...] = ENTITIES) -> tuple[s
 
     Places are windows of the text without punctuation, up to two characters shorter or longer than the entity. Nearer
     and then longer places go first and block what they overlap; if another entity is as near to the same place, it is
-    left and a warning given; a place that is the entity and letters after it (a possessive) isn't one. What is two edits away is left."""
+    left and a warning given; a place that is the entity and letters after it (a possessive) isn't one. What is two edits
+    away, and near no such place, is left, with a warning for the first three of an entity."""
     if not text or not entities:
         return text, 0, []
     plain, origin = [], []
@@ -153,13 +160,17 @@ def correct_entities(text: str, entities: tuple[str, ...] = ENTITIES) -> tuple[s
     if any(len(c) != 1 for c in plain):  # a letter whose lower case is two letters
         origin = [o for o, c in zip(origin, plain) for _ in c]
     found: list[tuple[int, int, str, int]] = []
+    far: list[tuple[int, int, str]] = []
+    warnings: list[str] = []
     for entity in sorted(entities, key=len, reverse=True):
         goal = normalize(entity)
         letters = sum(c.isalpha() for c in goal)
         for size in range(max(1, len(goal) - 2), min(len(flat), len(goal) + 2) + 1):
             for start in range(len(flat) - size + 1):
                 window = flat[start : start + size]
-                d = distance(window, goal, 1)
+                d = distance(window, goal, 2)
+                if d == 2:
+                    far.append((origin[start], origin[start + size - 1] + 1, entity))
                 if d > 1:
                     continue
                 begin, end = origin[start], origin[start + size - 1] + 1
@@ -171,7 +182,7 @@ def correct_entities(text: str, entities: tuple[str, ...] = ENTITIES) -> tuple[s
                 found.append((begin, end, entity, d))
     found.sort(key=lambda m: (m[3], m[0] - m[1]))
     taken: list[tuple[int, int]] = []
-    chosen, warnings = [], []
+    chosen = []
     for begin, end, entity, d in found:
         if any(begin < e and end > b for b, e in taken):
             continue
@@ -181,6 +192,12 @@ def correct_entities(text: str, entities: tuple[str, ...] = ENTITIES) -> tuple[s
             warnings.append(f"实体名修正歧义: '{text[begin:end].strip()}' → {[entity, *rivals]}")
         else:
             chosen.append((begin, end, entity))
+    told: dict[str, int] = {}
+    for begin, end, entity in far:
+        if told.get(entity, 0) < 3 and not any(begin < e and end > b for b, e in taken):
+            told[entity] = told.get(entity, 0) + 1
+            taken.append((begin, end))
+            warnings.append(f"实体名相差两处，未改: '{text[begin:end]}' ~ {entity}")
     count = 0
     for begin, end, entity in sorted(chosen, reverse=True):
         if text[begin:end] != entity:
@@ -202,7 +219,9 @@ def correct_text(text: str, entities: tuple[str, ...] = ENTITIES) -> tuple[str,
 
 def corrected(df: DataFrame, column: str = "text", entities: tuple[str, ...] = ENTITIES) -> DataFrame:
     """df with `corrected`: struct(text, corrections, entity_corrections, warnings)."""
-    hint = {normalize(e)[:1] for e in entities} and [normalize(e) for e in entities]
+    # two edits leave one of three thirds of the name as it is: texts without any third hold no place
+    plain = [normalize(e) for e in entities]
+    thirds = {h[len(h) * i // 3 : len(h) * (i + 1) // 3] for h in plain for i in range(3)}
 
     def fix(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, str] = {}
@@ -225,10 +244,9 @@ def corrected(df: DataFrame, column: str = "text", entities: tuple[str, ...] = E
                         words += 1
                         parts[i] = got
                 whole = "".join(parts)
-                # an edit leaves one of two halves of the name as it is: texts without any half hold no place
-                flat = "".join(c.lower() for c in whole if c.isalnum() or c.isspace())
-                flat = re.sub(r"\s+", " ", flat)
-                if any(h[: len(h) // 2] in flat or h[len(h) // 2 :] in flat for h in hint):
+                flat = re.sub(r"[^\w\s]+|_+", "", whole)
+                flat = re.sub(r"\s+", " ", flat.lower() if "Σ" not in flat else "".join(c.lower() for c in flat))
+                if any(x in flat for x in thirds):
                     whole, named, warnings = correct_entities(whole, entities)
                 else:
                     named, warnings = 0, []

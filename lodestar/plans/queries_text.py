@@ -29,21 +29,24 @@ def chunk_oversize_split(spark, sf_dir):
 
 
 def _books(spark, sf_dir):
-    """Each conversation as a text of chapters, one a turn."""
-    piece = F.struct("turn", F.concat(F.lit("Chapter "), (F.col("turn") + 1).cast("string"), F.lit("\n"), F.col("text")).alias("t"))
+    """Each conversation as a text of chapters, one a turn, with titles of one of three kinds or, of every fourth, none."""
+    n = (F.col("turn") + 1).cast("string")
+    kinds = F.col("conv_id") % 4
+    head = F.when(kinds == 0, F.concat(F.lit("第"), n, F.lit("章 begin\n"))).when(kinds == 1, F.concat(n, F.lit(". Part\n"))).when(kinds == 2, F.concat(F.lit("Chapter "), n, F.lit("\n"))).otherwise(F.lit(""))
+    piece = F.struct("turn", F.concat(head, F.col("text")).alias("t"))
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(piece)).alias("p")).select("doc_id", F.array_join(F.col("p.t"), "\n").alias("text"))
 
 
-_BOOKS = f"books AS (SELECT conv_id AS doc_id, string_agg('Chapter ' || (turn + 1) || {NL} || text, {NL} ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
-_COUNTS = r"""counted AS (SELECT doc_id, text, greatest(1, least(length(text), 100000) // 6000) AS need,
-  len(regexp_extract_all(left(text, 100000), '(?m)^.{0,20}第[两〇零千百十九八七六五四三二一０-９\d]+[篇部卷节回章].{0,30}$')) AS n1,
-  len(regexp_extract_all(left(text, 100000), '(?m)^\s{0,8}\d{1,4}[.．、\s]\s*\S.{0,28}$')) AS n2,
-  len(regexp_extract_all(left(text, 100000), '(?m)^\s{0,8}[cC]hapter\s+\d+.{0,40}$')) AS n3 FROM books)"""
+_HEAD = f"CASE conv_id % 4 WHEN 0 THEN '第' || (turn + 1) || '章 begin' || {NL} WHEN 1 THEN (turn + 1) || '. Part' || {NL} WHEN 2 THEN 'Chapter ' || (turn + 1) || {NL} ELSE '' END"
+_BOOKS = f"books AS (SELECT conv_id AS doc_id, string_agg({_HEAD} || text, {NL} ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+_RULES = [r".{0,20}第[两〇零千百十九八七六五四三二一０-９\d]+[篇部卷节回章].{0,30}", r"\s{0,8}\d{1,4}[.．、\s]\s*\S.{0,28}", r"\s{0,8}[cC]hapter\s+\d+.{0,40}"]
+_COUNTS = f"""counted AS (SELECT doc_id, text, greatest(1, least(length(text), 100000) // 6000) AS need, {", ".join(f"len(regexp_extract_all(left(text, 100000), '(?m)^{r}$')) AS n{i}" for i, r in enumerate(_RULES, 1))} FROM books)"""
+_RULE = "CASE WHEN n1 >= need THEN 1 WHEN n2 >= need THEN 2 WHEN n3 >= need THEN 3 END"
 
 
 @query("chapter_density", f"""WITH {_BOOKS}, {_COUNTS}
 SELECT doc_id, CAST(n1 AS INTEGER) AS n1, CAST(n2 AS INTEGER) AS n2, CAST(n3 AS INTEGER) AS n3, CAST(need AS INTEGER) AS need,
-       CASE WHEN n1 >= need THEN 1 WHEN n2 >= need THEN 2 WHEN n3 >= need THEN 3 END AS rule FROM counted""")
+       {_RULE} AS rule FROM counted""")
 def chapter_density(spark, sf_dir):
     text = F.col("text")
     counts = chunking.rule_counts(text)
@@ -51,22 +54,28 @@ def chapter_density(spark, sf_dir):
 
 
 @query("chunk_chapters", f"""WITH RECURSIVE {_BOOKS}, {_COUNTS},
-ruled AS (SELECT doc_id, text FROM counted WHERE n1 < need AND n2 < need AND n3 >= need),
-ln AS (SELECT doc_id, unnest(string_split(text, {NL})) AS line, generate_subscripts(string_split(text, {NL}), 1) AS i FROM ruled),
-marked AS (SELECT *, sum(CASE WHEN regexp_full_match(line, '\\s{{0,8}}[cC]hapter\\s+\\d+.{{0,40}}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS ch FROM ln),
+ruled AS (SELECT doc_id, text, {_RULE} AS rule FROM counted),
+ln AS (SELECT doc_id, rule, unnest(string_split(text, {NL})) AS line, generate_subscripts(string_split(text, {NL}), 1) AS i FROM ruled WHERE rule IS NOT NULL),
+marked AS (SELECT *, sum(CASE WHEN {" OR ".join(f"rule = {i} AND regexp_full_match(line, '{r}')" for i, r in enumerate(_RULES, 1))} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS ch FROM ln),
 chap AS (SELECT doc_id, ch, trim(arg_min(line, i), {BLANKS}) AS title, trim(string_agg(line, {NL} ORDER BY i), {BLANKS}) AS text FROM marked WHERE ch > 0 GROUP BY doc_id, ch)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ch) - 1 AS INTEGER) AS chunk_index,
        CAST(doc_id AS VARCHAR) || '_chunk_' || (row_number() OVER (PARTITION BY doc_id ORDER BY ch) - 1) AS chunk_id, title AS chapter_title,
-       ch || '/' || max(ch) OVER (PARTITION BY doc_id) AS chapter_index, text, CAST(length(text) AS INTEGER) AS length FROM chap""")
+       ch || '/' || max(ch) OVER (PARTITION BY doc_id) AS chapter_index, text, CAST(length(text) AS INTEGER) AS length FROM chap
+UNION ALL SELECT doc_id, 0, CAST(doc_id AS VARCHAR) || '_chunk_0', NULL, NULL, trim(text, {BLANKS}), CAST(length(trim(text, {BLANKS})) AS INTEGER) FROM ruled WHERE rule IS NULL AND trim(text, {BLANKS}) <> ''""")
 def chunk_chapters(spark, sf_dir):
-    """Chapters over the soft limit are one paragraph here (there is no blank line), so each stays one chunk."""
-    books = _books(spark, sf_dir).withColumn("rule", chunking.chapter_rule(F.col("text"))).where("rule = 3").drop("rule")
-    return chunking.chunk_texts(books)
+    """All three kinds of titles, and books without any. Texts over the soft limit are one paragraph here (there is no blank line), so each stays one chunk."""
+    return chunking.chunk_texts(_books(spark, sf_dir))
 
 
-@query("dedupe_md5", "SELECT md5(text) AS file_md5, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY md5(text)")
+@query("dedupe_md5", "SELECT file_md5, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT md5(text) AS file_md5, doc_id FROM documents WHERE text IS NOT NULL) WHERE file_md5 NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 7 = 3) GROUP BY file_md5")
 def dedupe_md5(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").groupBy(F.md5("text").alias("file_md5")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Texts as files, of which the catalog has some already: what is left to take in, with the number of files of one content."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    files = docs.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"), F.octet_length("text").cast("long").alias("length"), "doc_id")
+    found = sources.catalogued(files)
+    counts = found.join(docs.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "doc_id"), "path").groupBy("file_md5").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    known = sources.catalogued(files.where("doc_id % 7 = 3"))
+    return sources.unseen(found, known).select("file_md5").join(counts, "file_md5").select("file_md5", "doc_id", "copies")
 
 
 @query("file_validate", """WITH f AS (SELECT doc_id, 'dir/' || source || '_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.pdf' WHEN 2 THEN '.docx' ELSE '.TXT' END AS path, text FROM documents)
@@ -245,23 +254,30 @@ def entity_normalize(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", correction.normalize_column(name).alias("normal"))
 
 
-@query("entity_fuzzy", """WITH a AS (SELECT n_nationkey AS id, lower(n_name) AS a FROM nation), b AS (SELECT n_name AS entity, lower(n_name) AS b FROM nation)
+_EDITED = "CASE n % 5 WHEN 0 THEN {n} WHEN 1 THEN replace({n}, '0', 'O') WHEN 2 THEN left({n}, length({n}) - 1) WHEN 3 THEN {n} || '.' || left({n}, 2) ELSE left({n}, 4) || 'x' || substr({n}, 5) END"
+
+
+@query("entity_fuzzy", rf"""WITH lex AS (SELECT n_name || ' Holdings ' || r_name AS entity FROM nation JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT c_custkey AS id, c_custkey AS n, n_name || ' Holdings ' || r_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+a AS (SELECT id, lower(trim(regexp_replace(regexp_replace({_EDITED.format(n="name")}, '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))) AS a FROM c), b AS (SELECT entity, lower(entity) AS b FROM lex)
 SELECT id, entity, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM a, b WHERE levenshtein(a, b) <= 2""")
 def entity_fuzzy(spark, sf_dir):
-    names = table(spark, sf_dir, "nation")
-    return correction.near_entities(names.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), names.select(F.col("n_name").alias("entity")))
+    """Customers' names, made of a nation and its region, most of them with edits, against all such names."""
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat("n_name", F.lit(" Holdings "), "r_name").alias("name"))
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("n"), "name")
+    return correction.near_entities(rows.select("id", F.expr(_EDITED.format(n="name")).alias("name")), places.select(F.col("name").alias("entity")))
 
 
 _LEXICON = ", ".join(f"('{w}')" for w in sorted(correction.LEXICON))
 _PAIRS = sorted({a + b for p in correction.CONFUSED for a in p for b in p if a != b})
 
 
-@query("word_fix", f"""WITH lex(term) AS (VALUES {_LEXICON}),
+@query("word_fix", f"""WITH lex(term) AS (VALUES {_LEXICON}), pair(a, b) AS (VALUES {", ".join(f"('{p[0]}', '{p[1]}')" for p in _PAIRS)}),
 w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM documents
       UNION SELECT regexp_replace(term, 'i', 'l') FROM lex UNION SELECT regexp_replace(term, 'c', 'e') FROM lex UNION SELECT regexp_replace(term, 't', 'r') FROM lex),
-hit AS (SELECT word, min(term) AS term FROM w JOIN lex ON length(word) = length(term) AND hamming(word, term) = 1
-        WHERE len(list_filter(range(1, length(word) + 1), lambda i: word[i] <> term[i] AND NOT list_contains({_PAIRS!r}, word[i] || term[i]))) = 0
-          AND word NOT IN (SELECT term FROM lex) GROUP BY word)
+spot AS (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM lex),
+made AS (SELECT left(term, i - 1) || b || substr(term, i + 1) AS word, min(term) AS term FROM spot JOIN pair ON term[i] = a GROUP BY 1),
+hit AS (SELECT * FROM made ANTI JOIN lex ON word = lex.term)
 SELECT word, coalesce(term, word) AS fixed FROM w LEFT JOIN hit USING (word) WHERE word <> ''""")
 def word_fix(spark, sf_dir):
     from lodestar.operators.retrieval import tokens
@@ -286,7 +302,8 @@ def size_format(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", chars_display(n).alias("chars"), bytes_display(b).alias("bytes"), file_size_display(b).alias("short"))
 
 
-@query("page_confidence", "SELECT l_suppkey AS doc_id, round(coalesce(avg(l_quantity) FILTER (WHERE l_quantity >= 30), 0.0), 6) AS avg_confidence, median(l_quantity) AS median_height FROM lineitem GROUP BY l_suppkey")
+@query("page_confidence", "SELECT l_suppkey AS doc_id, round(coalesce(avg(l_quantity) FILTER (WHERE l_quantity >= 30), 0.0), 6) AS avg_confidence FROM lineitem GROUP BY l_suppkey")
 def page_confidence(spark, sf_dir):
-    """The mean of confidences over the least one, and the median height, of a page's words."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("doc_id")).agg(F.round(F.coalesce(F.avg(F.when(F.col("l_quantity") >= 30, F.col("l_quantity"))), F.lit(0.0)), 6).alias("avg_confidence"), F.median("l_quantity").alias("median_height"))
+    """The mean of confidences over the least one of a page's words."""
+    pages_ = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("doc_id")).agg(F.collect_list("l_quantity").alias("scores"))
+    return pages_.select("doc_id", F.round(tables.mean_confidence(F.filter("scores", lambda x: x >= 30)), 6).alias("avg_confidence"))
