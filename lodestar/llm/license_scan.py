@@ -39,6 +39,7 @@ class Index:
         self.names = [t[0] for t in templates]
         self.texts = [hashes(plain_words(t[1])).tolist() for t in templates]
         self.phrases = [[hashes(plain_words(p)).tolist() for p in t[2]] for t in templates]
+        self.places = [[(self._find(text, p) or [0])[0] for p in phrases] for text, phrases in zip(self.texts, self.phrases)]
         self.vocabulary = np.array(sorted({w for t in self.texts for w in t} | {w for t in self.phrases for p in t for w in p}), U)
         df = df or {}
         self.idf = {w: log((n + 1) / (df.get(w, 0) + 1)) for w in self.vocabulary.tolist()}
@@ -81,48 +82,58 @@ class Index:
                 first += votes[shift]
                 if len(near) < need:
                     continue
-                peak = max((s for s, _ in near), key=lambda s: (votes[s], -s))
-                if peak in tried:
-                    continue
-                tried.add(peak)
-                lo, hi = max(0, peak - DRIFT), min(len(h), peak + len(text) + 2 * DRIFT)
-                window = h[lo:hi]
-                at = [self._find(window, p) for p in self.phrases[t]]
-                if min(at) < 0:
-                    continue
-                score = sum((Counter(window) & Counter(text)).values()) / len(text)
-                if score >= SCORE:
-                    # the first and last of the rare words tell where the notice begins and ends, however it drifts between
-                    head = min(near, key=lambda x: (x[1], abs(x[0] - peak)))[0]
-                    tail = min(near, key=lambda x: (-x[1], abs(x[0] - peak)))[0]
-                    start = min(max(0, head), lo + min(at))
-                    end = max(min(len(h), tail + len(text)), lo + max(a + len(p) for a, p in zip(at, self.phrases[t])))
-                    found.append((-score * len(text), -votes[peak], start, end, self.names[t], score))
+                # the best shift of these, and each that has enough votes of its own: two short notices may stand this close
+                peaks = {max((s for s, _ in near), key=lambda s: (votes[s], -s)), *(s for s, _ in near if votes[s] >= need)} - tried
+                tried |= peaks
+                for peak in sorted(peaks):
+                    if match := self._match(h, t, peak, near):
+                        start, end, score = match
+                        found.append((-score * len(text), -votes[peak], start, end, self.names[t], score))
         best = []
         for _, _, start, end, name, score in sorted(found):
             if not any(name == n and start < e and s < end for n, s, e, _ in best):
                 best.append((name, start, end, score))
         return sorted(best, key=lambda x: (x[1], x[0]))
 
+    def _match(self, h: list[int], t: int, peak: int, near: list[tuple[int, int]]) -> tuple[int, int, float] | None:
+        """(start, end, score) of template t about the place where it would begin at `peak`, if its phrases are there."""
+        text = self.texts[t]
+        lo, hi = max(0, peak - DRIFT), min(len(h), peak + len(text) + 2 * DRIFT)
+        window = h[lo:hi]
+        at = []
+        for phrase, place in zip(self.phrases[t], self.places[t]):
+            found = self._find(window, phrase)
+            if not found:
+                return None
+            at.append(min(found, key=lambda x: (abs(lo + x - peak - place), x)))
+        score = sum((Counter(window) & Counter(text)).values()) / len(text)
+        if score < SCORE:
+            return None
+        # the first and last of the rare words tell where the notice begins and ends, however it drifts between
+        head = min(near, key=lambda x: (x[1], abs(x[0] - peak)))[0]
+        tail = min(near, key=lambda x: (-x[1], abs(x[0] - peak)))[0]
+        start = min(max(0, head), lo + min(at))
+        end = max(min(len(h), tail + len(text)), lo + max(a + len(p) for a, p in zip(at, self.phrases[t])))
+        return start, end, score
+
     @staticmethod
-    def _find(window: list[int], phrase: list[int]) -> int:
+    def _find(window: list[int], phrase: list[int]) -> list[int]:
+        """Where the phrase stands in the window."""
         n, head = len(phrase), phrase[0]
-        for i in range(len(window) - n + 1):
-            if window[i] == head and window[i : i + n] == phrase:
-                return i
-        return -1
+        return [i for i in range(len(window) - n + 1) if window[i] == head and window[i : i + n] == phrase]
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    df = np.zeros(len(index.vocabulary), np.int64)
+    df, n = np.zeros(len(index.vocabulary), np.int64), np.zeros(len(index.vocabulary), np.int64)
     for batch in batches:
+        n[0] += batch.num_rows  # in the first word's row, for all
         for _, _, data, off in slices(batch.column(0)):
             h, _, _, first = words(data, off, ALNUM)
             at = np.flatnonzero(index.known(h, index.vocabulary))
             rows = np.searchsorted(first, at, "right") - 1
             word = np.searchsorted(index.vocabulary, h[at])
             df += np.bincount(np.unique(rows * len(df) + word) % len(df), minlength=len(df))
-    yield pa.RecordBatch.from_arrays([pa.array(index.vocabulary.view(np.int64)), pa.array(df)], names=["word", "df"])
+    yield pa.RecordBatch.from_arrays([pa.array(index.vocabulary.view(np.int64)), pa.array(df), pa.array(n)], names=["word", "df", "n"])
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
@@ -150,8 +161,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, list[str]]] =
     the one of most matched words stays, of equal ones that of most rare words in place, then the first. An empty table gives no rows; other columns are ignored; texts of any length are scanned whole."""
     bare = Index(templates)
     texts = docs.where("text is not null").select("doc_id", "text")
-    rows = texts.select("text").mapInArrow(lambda it: _frequencies(it, bare), "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
+    rows = texts.select("text").mapInArrow(lambda it: _frequencies(it, bare), "word long, df long, n long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).collect()
     df = {r.word & 0xFFFFFFFFFFFFFFFF: r.df for r in rows}
-    index = Index(templates, df, texts.count())
+    index = Index(templates, df, sum(r.n for r in rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(lambda it: _scanned(it, index), f"doc_id {kind}, license string, start int, end int, score double")

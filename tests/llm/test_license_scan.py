@@ -61,6 +61,15 @@ def test_edits_and_missing_phrases(spark):
     assert license_scan.scan_licenses(docs.where("doc_id = 4")).count() == 2
 
 
+def test_notices_close_to_each_other(spark):
+    """Two short notices of one licence, the second with a word more between, are two places."""
+    line = "Licensed under the Apache License, Version 2.0."
+    n = len(plain_words(line))
+    rows = [(1, line + " " + line), (2, f"{line} Also: {line} And so on. {line}")]
+    found = {(r.doc_id, r.start) for r in license_scan.scan_licenses(brute.table(spark, rows)).collect() if r.license == "Apache-2.0"}
+    assert found == {(1, 0), (1, n), (2, 0), (2, n + 1), (2, 2 * n + 4)}
+
+
 def test_awkward_rows(spark):
     line = "Licensed under the Apache License, Version 2.0."
     rows = [(1, None), (2, ""), (3, " "), (None, line), (4, line), (4, line), (5, "word " * 200_000 + line)]
