@@ -3,7 +3,7 @@ document gives way to the two unpacked ones that fill the gap it leaves most tig
 
 from __future__ import annotations
 
-from heapq import heapify, heappop
+from heapq import heapify, heappop, heappush
 
 from collections.abc import Iterator
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import kept
+from lodestar.llm.shared import Work
 from lodestar.llm.vocabulary import PATH, encoding
 
 #: Tokens of a training sequence, and tokens packed as one shard. Bins don't span shards; a shard is some 2000 bins.
@@ -63,9 +63,7 @@ def best_two_fit(pieces: list[tuple[int, tuple]], capacity: int) -> list[list[tu
             if best[1]:
                 size, name = held.pop()
                 held += [take(best[1]), take(best[2])]
-                stacks[size] = stacks.get(size) or []
-                stacks[size].append(name)
-                heapify(stacks[size])
+                heappush(stacks[size], name)
                 there |= 1 << size
         bins.append(held)
     return bins
@@ -75,7 +73,7 @@ def _sized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     encoder = encoding(path)
     for batch in batches:
         sizes = [len(encoder.encode_ordinary(x.as_py())) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2)], names=["doc_id", "size", "lane"])
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, path: str = PATH) -> DataFrame:
@@ -83,15 +81,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, path: st
     doc_ids, starts, sizes of its pieces in the order they were packed.
 
     A text over the capacity is cut into pieces of that size and a rest; starts are in tokens. Documents are
-    spread over shards by a hash of doc_id, as many as the tokens of all texts ask for, and each shard is packed
-    by itself. A null or empty text takes no room and is in no bin. Rows of null doc_id are packed, under null;
+    spread over shards by a hash of doc_id and text, as many as the tokens of all texts ask for, and each shard is packed
+    by itself. doc_id is cast to long, so it has to be a number. A null or empty text takes no room and is in no bin. Rows of null doc_id are packed, under null;
     rows that repeat a doc_id are each packed. Ties of size go by doc_id (null last), then start. An empty table
     gives no bins; other columns are ignored."""
-    texts = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = kept(texts.mapInArrow(lambda it: _sized(it, path), "doc_id long, size long"))
+    texts = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("lane", F.xxhash64("doc_id", "text"))
+    sized = Work(docs.sparkSession, "packing").keep("sized", texts.mapInArrow(lambda it: _sized(it, path), "doc_id long, size long, lane long"))
     total = sized.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard))
-    lanes = sized.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(shards)).cast("long"))
+    lanes = sized.withColumn("shard", F.pmod("lane", F.lit(shards)).cast("long")).drop("lane")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         pieces = []
@@ -105,6 +103,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, path: st
 
     # doc_id as decimal, lest pandas make floats of it where some are null
     lanes = lanes.withColumn("doc_id", F.col("doc_id").cast("string"))
-    # a fixed number of partitions: by the bytes of so narrow a table, few tasks would be left to do the work
-    lanes = lanes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+    # a partition for each 8 shards, some 64 million tokens, but no fewer than the session asks for; by the bytes of so narrow a table there would be few tasks
+    lanes = lanes.repartition(min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // 8))), "shard")
     return lanes.groupBy("shard").applyInPandas(one, "shard long, bin long, used long, n_docs int, doc_ids array<long>, starts array<long>, sizes array<long>")
