@@ -28,8 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process has named, in order.
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made_so_far() -> int:
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Deletes the folders named since made_so_far() said `mark`; for when all that was made of them is written elsewhere."""
+    for path in _made[mark:]:
+        delete(spark, path)
+    del _made[mark:]
 
 
 def _file(spark: SparkSession, path: str):
