@@ -116,7 +116,13 @@ def naive_best_two_fit(sizes: list[tuple[int, tuple]], capacity: int) -> list[li
     return bins
 
 
-BOILERPLATE = re.compile(r"lorem ipsum|cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|javascript is disabled|use of cookies|subscribe to our|sign up for|click here|share on (facebook|twitter)|add to cart|skip to (main )?content", re.I | re.A)
+PHRASES = """lorem ipsum|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|enable javascript|javascript is disabled|use of cookies|subscribe to our|sign up for|click here
+share on facebook|share on twitter|add to cart|skip to content|skip to main content|alle rechte vorbehalten|datenschutzerkl.rung|nutzungsbedingungen|verwendung von cookies|javascript aktivieren|hier klicken
+klicken sie hier|teilen auf facebook|teilen auf twitter|in den warenkorb|zum inhalt springen|newsletter abonnieren|tous droits r.serv.s|politique de confidentialit.|conditions d.utilisation|utilisation de cookies
+activer javascript|cliquez ici|partager sur facebook|partager sur twitter|ajouter au panier|aller au contenu|abonnez-vous|todos los derechos reservados|pol.tica de privacidad|condiciones de uso|uso de cookies
+activar javascript|haga clic aqu.|compartir en facebook|compartir en twitter|a.adir al carrito|saltar al contenido|suscr.bete a"""
+BOILERPLATE = re.compile(f"(?<![A-Za-z])(?:{PHRASES.replace(chr(10), '|')})", re.I | re.A)
+ENDS = tuple(".!?…。！？:;,\"'”’»)]")
 MENU = re.compile(r"[ \t\n\x0b\x0c\r]*(home|menu|next|previous|back|login|log in|sign in|search|contact us|about us)[ \t\n\x0b\x0c\r]*", re.I | re.A)
 
 
@@ -127,7 +133,7 @@ def bad_line(line: str) -> bool:
     bars = any(re.search(p, line) for p in (r" \| .* \| ", r" [»›>] .* [»›>] ", r" [·•] .* [·•] "))
     marks = sum(c in "#$%&*~^=_|<>{}@\\[]+" for c in line)
     shouts = len(re.findall(r"[!?]{2,}", line))
-    return bool(bars or MENU.fullmatch(line) or BOILERPLATE.search(line) or marks > 0.1 * dense or shouts > 0.2 * len(w) or again)
+    return bool(bars or MENU.fullmatch(line) or BOILERPLATE.search(line) or marks > 0.1 * dense or shouts > 0.2 * len(w) or again or 0 < len(w) < 5 and not w[-1].endswith(ENDS))
 
 
 def cleaned(text: str | None) -> str | None:
