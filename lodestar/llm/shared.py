@@ -127,6 +127,11 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "
     return docs.join(side, key, how)
 
 
+def with_lists(docs: DataFrame, lists: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs joined to a table of lists by `key`, which grows as fast as the texts do: both sides are shuffled at every size, so one plan is all there is."""
+    return docs.join(lists.hint("shuffle_hash"), key)
+
+
 def lists_size(lists: DataFrame, column: str, width: int) -> int:
     """Bytes in memory of a table of a doc_id and a list of elements of `width` bytes."""
     n, total = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
