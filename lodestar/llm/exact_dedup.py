@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from lodestar.llm.shared import BROADCAST_ROWS, Work, delete, exists, fresh, tidy, with_ids, work_dir
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Bytes of a row that names a file, as it lies in memory.
+WIDTH = 200
 PLACE = "number long, doc_id long, file string, row long"
 PRINT = f"digest binary, {PLACE}"
 
@@ -117,7 +119,7 @@ class ExactDedup:
             return spark.createDataFrame([], "doc_id long, duplicate_of long, print binary")
         told = spark.read.parquet(updates).where("n > 1").withColumn("k", F.row_number().over(seen)).where("k = 1").select("digest", "first")
         hits = work.keep("hits", again.join(told, "digest"))  # rows whose digest has come before, in this batch or another
-        mine = with_ids(placed.where("text is not null"), hits.select("file", "row"), "left_semi", ["file", "row"])
+        mine = with_ids(placed.where("text is not null"), hits.select("file", "row"), "left_semi", ["file", "row"], size=WIDTH * hits.count())
         mine = mine.select(self.digest(F.col("text")).alias("digest"), "text", F.lit(number).cast("long").alias("number"), "doc_id", "file", "row")
         elders = hits.where(F.col("first.number") < number).select("digest", *[F.col(f"first.{c}").alias(c) for c in ("number", "doc_id", "file", "row")]).distinct()
         if exists(spark, f"{self.state}/variants"):
@@ -127,7 +129,7 @@ class ExactDedup:
         paths = sorted({p for r in elders.select("number").distinct().collect() for p in roots[r.number]})  # one row for each batch
         if paths:
             old = _placed(spark.read.parquet(*paths)).select("text", "file", "row")
-            mine = mine.unionByName(with_ids(old, elders, "inner", ["file", "row"]).select(*mine.columns))
+            mine = mine.unionByName(with_ids(old, elders, "inner", ["file", "row"], size=WIDTH * elders.count()).select(*mine.columns))
         # the bytes decide: only rows of one digest and one text are copies of each other
         text = Window.partitionBy("digest", "text").orderBy("number", F.col("doc_id").asc_nulls_last(), "file", "row")
         ranked = mine.select("*", F.first("doc_id").over(text).alias("duplicate_of"), F.row_number().over(text).alias("k")).where(F.col("number") == number)
