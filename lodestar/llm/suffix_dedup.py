@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.hashing import PLAIN, U, gram_rows, grams, least_of, slices, winnow, words
-from lodestar.llm.shared import Work, lists_size, with_ids
+from lodestar.llm.hashing import PLAIN, U, gram_rows, grams, least_of, run_hashes, slices, winnow, words
+from lodestar.llm.shared import Work, with_lists
 from lodestar.llm.suffix_array import permuted_lcp, suffix_array
 
 #: Least length of a repeat, in words.
 WORDS = 50
 #: Words of a part that travels, beyond the overlap that keeps each window of WORDS words whole; words of one suffix array.
 PART, ARRAY = 512, 200_000
+#: Anchors in more places than this are hot: their windows are counted by a hash of all words, not sorted in one task.
+HOT = 4096
 NONE = np.iinfo(np.int64).max
 
 
@@ -187,6 +189,41 @@ def _repeats(held: Held, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)) for r in rows], names=["doc_id", "start", "end", "other_id"])
 
 
+def _hot_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, marks: [pos]) -> (window, start, doc_id): hashes of the windows of `least` words whose own anchor is at one of the places."""
+    k = _anchor_size(least)
+    for batch in batches:
+        ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+        places, bounds = marks.values.to_numpy(), marks.offsets.to_numpy()
+        for begin, end, data, off in slices(batch.column(1)):
+            h, _, _, first = words(data, off, PLAIN)
+            at, rows = gram_rows(first, k)
+            if not len(at):
+                continue
+            count = np.maximum(np.diff(first) - k + 1, 0)
+            base = np.cumsum(count) - count
+            marked = np.zeros(len(at), bool)
+            for row in range(begin, end):
+                pos = places[bounds[row] : bounds[row + 1]]
+                marked[base[row - begin] + pos[pos < count[row - begin]]] = True
+            best = least_of(grams(h, k)[at], rows, least - k + 1)
+            mine = np.flatnonzero(marked[best] & (at + least <= first[1:][rows]))
+            start = at[mine]
+            yield pa.RecordBatch.from_arrays([pa.array(run_hashes(h, start, least).view(np.int64)), pa.array((start - first[rows[mine]]).astype(np.int64)), pa.array(ids[begin + rows[mine]])], names=["window", "start", "doc_id"])
+
+
+def _hot_spans(work: Work, docs: DataFrame, hot: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start, end, other_id) of the windows of hot anchors: counted before they are shuffled, and joined in a way that Spark splits where a window is hot."""
+    marks = work.keep("hot-marks", hot.groupBy("doc_id").agg(F.collect_list("pos").alias("marks")))
+    windows = with_lists(docs, marks).select("doc_id", "text", "marks").mapInArrow(lambda it: _hot_windows(it, least), "window long, start long, doc_id long")
+    windows = work.keep("windows", windows)
+    firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("lo"), F.max(F.struct("doc_id", "start")).alias("hi")).where("lo < hi").select("window", F.col("lo.doc_id").alias("one"))
+    told = work.keep("hot", windows.join(firsts.hint("merge"), "window"))
+    second = told.where("doc_id <> one").groupBy("window").agg(F.min("doc_id").alias("two"))
+    other = F.when(F.col("doc_id") != F.col("one"), F.col("one")).otherwise(F.coalesce("two", "doc_id"))
+    return told.join(second.hint("merge"), "window", "left").select("doc_id", "start", (F.col("start") + least).alias("end"), other.alias("other_id"))
+
+
 def merged(spans: DataFrame, *by: str, overlap: int = 0) -> DataFrame:
     """Spans (start, end) of equal `by` that touch, or overlap by `overlap` at least, made one."""
     w = Window.partitionBy(*by).orderBy("start", "end")
@@ -200,19 +237,23 @@ def repeats(docs: DataFrame, least: int = WORDS, part: int = PART, array: int =
     """(doc_id, other_id, start, end, n_words): parts of documents, in words from 0, of which each window of `least` words
     occurs elsewhere too. other_id is the smallest other doc_id that holds the windows, or doc_id itself if only it does.
 
-    Words are what ASCII white space parts, compared byte for byte; a repeat can be of any length. All places of a
-    repeat are given, the first too. Null, empty and short texts hold no repeats; rows of null doc_id are left out; rows
+    Words are what ASCII white space parts, compared by 64-bit hashes of their bytes; a repeat can be of any length. All places of a
+    repeat are given, the first too. Windows whose anchor is in over HOT places are counted instead of sorted; the rows are the same. Null, empty and short texts hold no repeats; rows of null doc_id are left out; doc_id is cast to long, so it has to be a number; rows
     that repeat a doc_id and text are one document, and of rows with one doc_id and several texts each is searched. An
     empty table gives no rows; other columns are ignored."""
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = docs.mapInArrow(lambda it: _anchors(it, least), "anchor long, doc_id long, pos int")
-    w = Window.partitionBy("anchor")
-    first = F.min(F.struct("doc_id", "pos")).over(w)
-    linked = anchors.select("doc_id", "pos", F.count("*").over(w).alias("n"), first.alias("first")).where("n > 1")
-    marks = linked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.xxhash64("first.doc_id", F.floor(F.col("first.pos") / 256)).alias("shard"))).alias("marks"))
     work = Work(docs.sparkSession, "repeats")
-    marks = work.keep("marks", marks)
-    parts = with_ids(docs, marks, "inner", size=lists_size(marks, "marks", 40)).select("doc_id", "text", "marks").mapInArrow(lambda it: _parts(it, least, part), "shard long, doc_id long, at int, text string, anchors array<int>")
+    anchors = work.keep("anchors", docs.mapInArrow(lambda it: _anchors(it, least), "anchor long, doc_id long, pos int"))
+    # counted before they are shuffled, and joined in a way that Spark splits where an anchor is hot
+    firsts = anchors.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    shard = F.xxhash64("first.doc_id", F.floor(F.col("first.pos") / 256)).alias("shard")
+    linked = work.keep("linked", anchors.join(firsts.hint("merge"), "anchor").select("doc_id", "pos", shard, (F.col("n") > HOT).alias("hot")))
+    work.drop("anchors")
+    marks = work.keep("marks", linked.where("not hot").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "shard")).alias("marks")))
+    parts = with_lists(docs, marks).select("doc_id", "text", "marks").mapInArrow(lambda it: _parts(it, least, part), "shard long, doc_id long, at int, text string, anchors array<int>")
     sorted_ = parts.repartition(F.col("shard")).sortWithinPartitions("shard")
     spans = sorted_.mapInArrow(lambda it: _sort_shards(it, least, array), "doc_id long, start long, end long, other_id long")
+    hot = linked.where("hot")
+    if hot.limit(1).count():
+        spans = work.keep("spans", spans).unionByName(_hot_spans(work, docs, hot, least))
     return merged(spans, "doc_id", "other_id", overlap=least - 1).select("doc_id", "other_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))

@@ -64,6 +64,14 @@ def test_repeats(spark, least, part, array):
     _check(rows, suffix_dedup.repeats(brute.table(spark, rows), least, part, array).collect(), least)
 
 
+@pytest.mark.parametrize("hot", [1, 8])
+def test_hot_anchors(spark, monkeypatch, hot):
+    """All or some anchors hot: the rows are the same."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = [*_corpus(12), (5, _corpus(12)[5][1]), (None, _corpus(12)[5][1]), (200, None), (201, "")]
+    _check(rows, suffix_dedup.repeats(brute.table(spark, rows), 12).collect(), 12)
+
+
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
