@@ -26,8 +26,10 @@ BANDS, ROWS = 48, 4
 GRAM = 2
 THRESHOLD = 0.5
 #: What isn't near its bucket's first document is compared with the whole bucket, if that has FEW members at most; in
-#: larger ones with the first of what is left, and so on, so many times at most while it finds any.
+#: larger ones with the first of what is left, and so on, so many times at most while it finds any. That is only to have less
+#: left over: what such a bucket then has of more groups than one is compared each with each, in blocks of so many rows and bytes.
 FEW, STAR_ROUNDS = 64, 6
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 
 
 def bags(data: np.ndarray, off: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +159,72 @@ def _first(rows: DataFrame) -> DataFrame:
     return rows.join(firsts.hint("merge"), "band").select("band", "doc_id", "a", "n").where("doc_id <> a")
 
 
+def _joining(table: pa.Table, threshold: float) -> pa.Table:
+    """(i, j, block, doc_id, root, text) of the blocks i and j of a bucket -> (a, b, jaccard): near pairs of a row of i and one of j that join different roots.
+
+    Each row of i is held against all of j at once. A pair whose roots are joined by those before it isn't given, so there are fewer pairs than rows."""
+    table = table.combine_chunks()
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    ids, block = table["doc_id"].to_numpy(), table["block"].to_numpy()
+    group = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+    parts = [(r + begin, x, w) for begin, _, data, off in slices(table["text"]) for r, x, w in [bags(data, off)]]
+    rows, x, w = map(np.concatenate, zip(*parts))
+    total = np.bincount(rows, w, len(ids))
+    _, x, holders = np.unique(x, return_inverse=True, return_counts=True)
+    shared = holders[x] > 1  # an element of one row adds to that row's total only
+    rows, x, w = rows[shared], x[shared], w[shared]
+    first = np.searchsorted(rows, np.arange(len(ids) + 1))
+    other = np.flatnonzero(block[rows] == j)
+    rows_j, x_j, w_j = rows[other], x[other], w[other]
+    weight, out = np.zeros(len(holders), np.int64), []
+    for row in np.flatnonzero((block == i) & (total > 0)):
+        mine = slice(first[row], first[row + 1])
+        weight[x[mine]] = w[mine]
+        both = np.bincount(rows_j, np.minimum(weight[x_j], w_j), len(ids))
+        weight[x[mine]] = 0
+        value = np.where(block == j, both / (total[row] + total - both), 0)
+        if i == j:
+            value[: row + 1] = 0
+        near = np.flatnonzero(value >= threshold)
+        while len(near := near[group[near] != group[row]]):
+            a, b = sorted((int(ids[row]), int(ids[near[0]])))
+            out.append((a, b, float(value[near[0]])))
+            group[group == group[near[0]]] = group[row]
+    a, b, value = zip(*out) if out else ((), (), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(value, pa.float64())], names=["a", "b", "jaccard"])
+
+
+def _between_groups(work: Work, texts: DataFrame, rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard): near pairs of the buckets rows(band, doc_id) that join the groups which the links found make; with these all
+    documents of a bucket that near pairs of it link are linked.
+
+    Of equal texts one stands for the others, which are linked to it. Each block of a bucket meets each, so neither a task nor a table holds a bucket's pairs."""
+    roots = components(found, "a", "b").withColumnRenamed("node", "doc_id")
+    rows = rows.distinct()
+    held = rows.select("doc_id").distinct()
+    n = held.count()
+    held = with_ids(held, roots, "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rows = work.keep("grouped", rows.join(held, "doc_id"))
+    open_ = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    rows = work.keep("parted", rows.join(open_, "band"))
+    ids = rows.select("doc_id").distinct()
+    prints = work.keep("open-prints", with_ids(texts, ids, "left_semi", n=n).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("bytes")).distinct())
+    firsts = prints.groupBy("digest").agg(F.min("doc_id").alias("a"))
+    copies = prints.where("bytes > 0").join(firsts, "digest").where("a < doc_id")
+    # blank texts are near nothing; those of a repeated doc_id may be among these
+    equal = _verified(work, "equal", texts, copies.select("a", F.col("doc_id").alias("b")), threshold)
+    stand = rows.join(prints, "doc_id").groupBy("band", "digest").agg(F.min(F.struct("doc_id", "root", "bytes")).alias("one")).select("band", "digest", "one.*")
+    sizes = stand.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    stand = stand.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks"))
+    sides = stand.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sides = work.keep("sides", sides.select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc_id", "digest", "root"))
+    with_text = texts.withColumn("digest", F.unhex(F.sha2("text", 256))).dropDuplicates(["doc_id", "digest"])
+    with_text = with_ids(with_text, ids, "left_semi", n=n)
+    blocks = sides.join(with_text.hint("shuffle_merge"), ["doc_id", "digest"]).select("band", "i", "j", "block", "doc_id", "root", "text")
+    joined = blocks.groupBy("band", "i", "j").applyInArrow(lambda table: _joining(table, threshold), "a long, b long, jaccard double")
+    return work.keep("joined", joined).unionByName(equal)
+
+
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b, jaccard), a < b: pairs of doc_ids whose multisets of word pairs have sum(min) / sum(max) of `threshold` or more.
 
@@ -164,8 +232,8 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     of each band all documents are compared with the one of the smallest doc_id. Those that aren't near it are compared with
     all of the bucket, if that has FEW members at most: so a near pair that shares such a bucket is given itself, unless
     both are near the bucket's first and linked through it. In larger buckets they are compared with the first of those that
-    are left, and so on while that finds any, STAR_ROUNDS times at most, and then with the next smaller member; there
-    a near pair can be missed, if all the buckets that it shares are so large.
+    are left, and so on while that finds any, STAR_ROUNDS times at most, and with the next smaller member; what these links leave
+    in different groups is compared each with each. So all near pairs that share a bucket of any size are linked, if not given themselves.
 
     Null, empty and blank texts are near nothing, not even each other; rows of null doc_id are left out; doc_id is cast to
     long, so it has to be a number. Rows that repeat a doc_id are one document, which is near whatever any of its rows is
@@ -202,6 +270,9 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
         if not new.limit(1).count():
             break
         many = work.keep(f"many-{i}", left(open_).select("band", "doc_id"))
+    if hot.limit(1).count():
+        large = members.where(F.col("n") > FEW).join(hot, "band", "left_semi").select("band", "doc_id")
+        found = found.unionByName(_between_groups(work, texts, large, found, threshold))
     return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
@@ -210,6 +281,16 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return near_pairs(docs, threshold).select(F.col("b").alias("doc_id"), F.col("a").alias("near_doc_id"), "jaccard")
 
 
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id), a row for each doc_id: class_id is the smallest doc_id of its connected group of near pairs, its own where it is near nothing.
+
+    doc_id is cast to long; rows of null doc_id are left out; null, empty and blank texts are near nothing; rows that repeat a
+    doc_id are one document. See near_pairs for which pairs are told."""
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    groups = Work(docs.sparkSession, "classes").keep("classes", components(near_pairs(docs, threshold), "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("class_id")))
+    return with_ids(ids, groups, "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents, all columns, without those of each connected group of near pairs but the one of the smallest doc_id.
 

@@ -127,3 +127,44 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, 300)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert found == brute.groups(edges)
+
+
+def _families(rng, n, first=0):
+    """n families of three texts in which only the neighbours are near, all of them in the bucket of one shared word pair."""
+    rows = []
+    for i in range(n):
+        unit = [brute.prose(rng, 20, 100_000) for _ in range(17)]
+        rows += [(first + i, " ".join(unit[:10])), (first + n + i, " ".join(unit[3:13])), (first + 2 * n + i, " ".join(unit[5:15]))]
+    return rows
+
+
+def _one_bucket(monkeypatch):
+    def one(batches, bands, rows):
+        for batch in batches:
+            ids = [i for i, t in zip(*(c.to_pylist() for c in batch.columns)) if t.split()]
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(ids), pa.int64()), pa.array(ids, pa.int64())], names=["band", "doc_id"])
+
+    monkeypatch.setattr(minhash, "_bands", one)
+
+
+def test_a_large_bucket_of_many_families(spark, monkeypatch):
+    """60 families in one bucket of 180 members: the rounds by first members end long before they are through."""
+    _one_bucket(monkeypatch)
+    rows = _families(random.Random(13), 60)
+    want = brute.near(rows)
+    for size in (1024, 20):
+        monkeypatch.setattr(minhash, "BLOCK_ROWS", size)
+        found = minhash.near_pairs(brute.table(spark, rows)).collect()
+        assert {(r.a, r.b) for r in found} <= want.keys() and all(abs(r.jaccard - want[r.a, r.b]) < 1e-9 for r in found)
+        assert brute.groups([(r.a, r.b) for r in found]) == brute.groups(want) and len(brute.groups(want)) >= 60
+
+
+def test_copies_in_a_large_bucket(spark, monkeypatch):
+    """Families whose texts have copies each, under other ids, and a doc_id whose second row is blank."""
+    _one_bucket(monkeypatch)
+    rows = _families(random.Random(14), 25)
+    rows += [(1000 + 100 * c + i, t) for c in range(2) for i, t in rows] + [(5000, rows[7][1]), (5000, " "), (5001, ""), (5002, None), (None, rows[0][1])]
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(brute.table(spark, rows)).collect()}
+    linked = brute.groups(brute.near(rows))
+    assert got == {i: linked.get(i, i) for i, _ in rows if i is not None}
+    assert minhash.near_classes(brute.table(spark, [])).collect() == []
