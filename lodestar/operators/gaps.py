@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.config import Config, tokens_to_chars
+from lodestar.functions.arrow import pieces
 
 
 def gap_keys(candidates: DataFrame, width: int) -> DataFrame:
@@ -106,7 +107,7 @@ def fill(candidates: DataFrame, store: DataFrame, config: Config = Config()) ->
     every = eligible.unionByName(own.select(*keys, F.lit(None).cast("int").alias("length"), F.lit(True).alias("mine")))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             out = []
             for query, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lengths = {(r["doc_id"], r["chunk_index"]): r["length"] for r in rows if not r["mine"]}
