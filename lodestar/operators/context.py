@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.config import Config, tokens_to_chars
+from lodestar.functions.arrow import pieces
 from lodestar.functions.text import locator
 
 LOW_CONFIDENCE = "（以下回答基于低相关度资料，仅供参考）\n\n"
@@ -37,11 +38,12 @@ def trim(parts: Column, config: Config = Config(), limit: int | None = None) ->
     """array<string> -> the context as one text. What goes depends on what went before, so a fold over each query's few parts."""
     most = tokens_to_chars(config.context_tokens) if limit is None else limit
 
-    def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda p: None if p is None else "\n\n".join(trimmed(list(p), most)))
+            for rows in pieces(batch):
+                yield pa.array([None if p is None else "\n\n".join(trimmed(p, most)) for p in rows.to_pylist()], pa.string())
 
-    return F.pandas_udf(join, "string")(parts)
+    return F.arrow_udf(join, "string")(parts)
 
 
 def contexts(chunks: DataFrame, config: Config = Config(), limit: int | None = None) -> DataFrame:
