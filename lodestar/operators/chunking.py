@@ -6,10 +6,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.config import Config
+from lodestar.functions.arrow import pieces
 from lodestar.functions.text import strip
 
 _NUMERALS = "两〇零千百十九八七六五四三二一０-９\\d"
@@ -73,11 +75,12 @@ def paragraph_chunks(text: Column, limit: int, separator: str = "\n\n") -> Colum
 
     A fold over strings: an Arrow function was faster here than aggregate(), which copies its arrays at every step."""
 
-    def gather(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def gather(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([None if t is None else [c for c in (x.strip() for x in _gather(t.split(separator), limit, separator, 0)) if c] for t in batch], dtype=object)
+            for texts in pieces(batch):
+                yield pa.array([None if t is None else [c for c in (x.strip() for x in _gather(t.split(separator), limit, separator, 0)) if c] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return F.pandas_udf(gather, "array<string>")(text)
+    return F.arrow_udf(gather, "array<string>")(text)
 
 
 def _table_parts(text: str, limit: int, repeat_header: bool) -> list[str]:
@@ -107,11 +110,13 @@ def split_oversize(text: Column, kind: Column, limit: int = 5000, separator: str
 
     Separators count here. A part over the limit stays whole."""
 
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, kinds in batches:
-            yield pd.Series([None if t is None else [t] if len(t) <= limit else _table_parts(t, limit, repeat_header) if k == "table" else _text_parts(t, limit, separator) for t, k in zip(texts, kinds)], dtype=object)
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            for rows in pieces(pa.RecordBatch.from_arrays(list(columns), ["text", "kind"])):
+                pairs = zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())
+                yield pa.array([None if t is None else [t] if len(t) <= limit else _table_parts(t, limit, repeat_header) if k == "table" else _text_parts(t, limit, separator) for t, k in pairs], pa.list_(pa.string()))
 
-    return F.pandas_udf(cut, "array<string>")(text, kind)
+    return F.arrow_udf(cut, "array<string>")(text, kind)
 
 
 def numbered(df: DataFrame, parts: str, doc: str = "doc_id") -> DataFrame:
