@@ -17,10 +17,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lodestar.config import Config
+from lodestar.functions.arrow import pieces
 
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 #: Pairs of a query and a term that go to the tasks at once, some 10 MB; more are asked in several passes.
 BLOCK = 200_000
+#: Documents whose terms are looked up at once in a task, their bytes on average, and scores of documents and queries that are held at once.
+LOOKED, LOOKED_BYTES, CELLS = 1024, 8 << 20, 1 << 20
 #: Partitions of the kept full-text index, by a hash of the term.
 BUCKETS = 64
 
@@ -93,7 +96,7 @@ class _Asked:
     def counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, dl, t) -> (term, n): documents that hold each term; at -1 all of them, at -2 their words."""
         df, n, words = np.zeros(len(self.terms), np.int64), 0, 0
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, LOOKED, LOOKED_BYTES)):
             df += np.bincount(self.postings(batch.column(2))[1], minlength=len(df))
             n, words = n + batch.num_rows, words + (pc.sum(batch.column(1)).as_py() or 0)
         held = np.flatnonzero(df)
@@ -102,12 +105,12 @@ class _Asked:
     def scored(self, batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, k: int, config: Config, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         """(doc_id, dl, t) -> the k best documents of each query in this partition: (query_id, doc_id, score)."""
         n, best, asked = len(self.queries), _Best(len(self.queries), k), np.diff(self.begin)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, LOOKED, LOOKED_BYTES)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             row, term, tf = self.postings(batch.column(2))
             dl = batch.column(1).to_numpy()[row]
             gain = idf[term] * tf * (config.bm25_k1 + 1) / (tf + config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * dl / mean))
-            step = max(1, min(1024, (1 << 22) // n))  # documents whose scores for all queries are held at once
+            step = max(1, min(1024, CELLS // n))  # documents whose scores for all queries are held at once
             for low in range(0, len(ids), step):
                 lo, hi = np.searchsorted(row, (low, low + step))
                 size = asked[term[lo:hi]]
