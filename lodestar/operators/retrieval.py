@@ -201,32 +201,79 @@ def bm25_kept(index: DataFrame, lengths: DataFrame, queries: DataFrame, enabled:
 def nearest(store: DataFrame, queries: DataFrame, k: int | None = None, config: Config = Config(), block: int = 4096) -> DataFrame:
     """store(doc_id, vector) and queries(query_id, vector) -> query_id, doc_id, score (dot product, 6 decimals), rank; exact.
 
-    Blocks of queries go to the store's partitions: each batch of vectors is one matrix product, a task keeps the k best of
-    each query, and these rows are all that is shuffled. Vectors of the store don't move. Rows without a vector or an id don't count."""
+    Blocks of queries go to the store's partitions: each batch of vectors is one matrix product in single precision, and what a bound on
+    its error lets into the k best is multiplied anew in double. A task keeps the k best of each query, and these rows are all that is
+    shuffled; if there are many blocks, each is asked in few tasks, so that these rows don't grow with blocks times partitions. Vectors of the
+    store don't move. Rows without a vector or an id don't count."""
     k = k or config.hybrid_top_k
     kind = to_arrow_type(store.schema["doc_id"].dataType)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {store.schema['doc_id'].dataType.simpleString()}, score double"
     rows = store.where("doc_id is not null and vector is not null").select("doc_id", "vector")
 
-    def best(batches: Iterator[pa.RecordBatch], names: pa.Array, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = _Best(len(names), k)
+    def best(batches: Iterator[pa.RecordBatch], names: pa.Array, asked: pa.Array) -> Iterator[pa.RecordBatch]:
+        found = _Nearest(_matrix(asked), k)
         for batch in batches:
             ids, all_ = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
             for low in range(0, len(ids), 1024):
-                scores = np.round(asked @ all_[low : low + 1024].T, 6)
-                good = scores >= found.least[:, None]
-                for q in np.flatnonzero(good.any(axis=1)).tolist():
-                    x = np.flatnonzero(good[q])
-                    found.add(q, scores[q, x], ids[low + x])
+                found.add(all_[low : low + 1024], ids[low : low + 1024])
         yield from found.rows(names, kind)
 
-    found = []
-    for part in _in_blocks(queries.where("query_id is not null and vector is not null").select("query_id", "vector"), block):
-        names, asked = part["query_id"].combine_chunks(), _matrix(part["vector"].combine_chunks())
-        found.append(rows.mapInArrow(lambda it, n=names, a=asked: best(it, n, a), schema))
+    parts = [part.take(pa.array(np.arange(at, min(at + block, part.num_rows)))) for part in _in_blocks(queries.where("query_id is not null and vector is not null").select("query_id", "vector"), 16 * block) for at in range(0, part.num_rows, block)]
+    if len(parts) > 1:
+        rows = rows.coalesce(max(1, -(-4 * store.sparkSession.sparkContext.defaultParallelism // len(parts))))
+    found = [rows.mapInArrow(lambda it, n=part["query_id"].combine_chunks(), a=part["vector"].combine_chunks(): best(it, n, a), schema) for part in parts]
     return top(_together(found, store.sparkSession, schema), k, "score", "doc_id")
 
 
+class _Nearest:
+    """The k nearest rows of each query so far, by score, falling, then by doc_id."""
+
+    def __init__(self, asked: np.ndarray, k: int) -> None:
+        self.k, self.asked = k, asked
+        self.narrow, self.norm = asked.astype(np.float32), np.sqrt((asked * asked).sum(axis=1))
+        self.least = np.full(len(asked), -np.inf)
+        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), None
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, all_: np.ndarray, ids: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            rough = self.narrow @ all_.astype(np.float32).T
+            # what single precision can be off by, and rounding
+            off = (all_.shape[1] + 8) * 2.0**-23 * self.norm * np.sqrt((all_ * all_).sum(axis=1)).max() + 1e-6
+            least = self.least
+            if len(ids) > self.k and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(rough, -self.k, axis=1)[:, -self.k] - off)
+            bound = np.nextafter((least - off).astype(np.float32), np.float32(-np.inf))
+            q, x = np.nonzero(~(rough < bound[:, None]))
+            for at in range(0, len(q), 1 << 16):
+                i, j = q[at : at + (1 << 16)], x[at : at + (1 << 16)]
+                score = np.round(np.einsum("ij,ij->i", self.asked[i], all_[j]), 6)
+                good = score >= self.least[i]
+                self.new.append((i[good], score[good], ids[j[good]]))
+                self.held += int(good.sum())
+        if self.held >= self.k * len(self.asked) // 2 or np.isneginf(self.least).any():
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.new:
+            return
+        query, score, ids = map(np.concatenate, zip(*self.new, *([(self.query, self.score, self.id)] if self.id is not None else [])))
+        order = np.lexsort((ids, -score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        self.query, self.score, self.id = (v[nth < self.k] for v in (query, score, ids))
+        last = nth == self.k - 1
+        self.least[query[last]] = score[last]
+        self.new, self.held = [], 0
+
+    def rows(self, queries: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        for at in range(0, len(self.query), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(self.query[some])), pa.array(self.id[some], kind), pa.array(self.score[some])], names=["query_id", "doc_id", "score"])
+
+
 def _matrix(vectors: pa.ListArray) -> np.ndarray:
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(vectors), -1)

@@ -1,5 +1,6 @@
 """What Python holds at once of the rows that Spark sends doesn't grow with the batch."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,29 @@ def test_terms_are_looked_up_in_pieces(monkeypatch):
     (out,) = asked.counted(iter([batch]))
     assert dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == {0: N, -1: N, -2: 2 * N}
     assert max(seen) <= retrieval.LOOKED and sum(seen) == N
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_nearest_of_single_precision_are_those_of_double(kind):
+    """Vectors that differ by less than single precision tells, ties among them, and values that aren't finite."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16))
+    all_ = np.concatenate([base + 1e-7 * rng.normal(size=base.shape) for _ in range(60)]).astype(kind).astype(np.float64)
+    all_[7] = np.nan
+    asked, ids = all_[::50].copy(), rng.permutation(len(all_))
+    found = retrieval._Nearest(asked, 42)
+    for at in range(0, len(all_), 100):
+        found.add(all_[at : at + 100], ids[at : at + 100])
+    got = [r for b in found.rows(pa.array(range(len(asked))), pa.int64()) for r in zip(*(c.to_pylist() for c in b.columns))]
+    scores = np.round(np.einsum("ik,jk->ij", asked, all_), 6)
+    want = [(q, int(ids[x]), scores[q, x]) for q in range(len(asked)) for x in np.lexsort((ids, -scores[q]))[:42]]
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-9)
+
+
+def test_many_blocks_of_queries_are_asked_in_few_tasks(spark):
+    """Each task gives the k best of each query: with 50 blocks these don't grow with the partitions of the store."""
+    store = spark.range(200).selectExpr("id as doc_id", "array(double(id), 1.0) as vector").repartition(40)
+    found = retrieval.nearest(store, store.withColumnRenamed("doc_id", "query_id"), k=3, block=4)
+    assert found.count() == 600
+    spread = len(list(retrieval._in_blocks(store.selectExpr("doc_id as query_id", "vector"), 64)))
+    assert spread == 4
